@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyphony.llm import near_dup
+from polyphony.llm import near_dup, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,5 +21,13 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicate_groups(_t(spark, d, "responses"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(_t(spark, d, "responses"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(_t(spark, d, "responses"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_rates": p3_rates}
