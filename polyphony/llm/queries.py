@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyphony.llm import near_dup, truncation
+from polyphony.llm import langid, near_dup, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicate_groups(_t(spark, d, "responses"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.label_issues(_t(spark, d, "responses"), _t(spark, d, "oasst2_prompts"))
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(langid.subjects(_t(spark, d, "responses"), _t(spark, d, "oasst2_prompts")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(_t(spark, d, "responses"))
 
@@ -30,4 +38,4 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_rates": p3_rates}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_rates": p3_rates}
