@@ -86,6 +86,10 @@ def _multipliers(cfg: Leakage) -> np.ndarray:
     return mix(np.arange(1, cfg.hashes + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(cfg.seed)) | U(1)
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * U(0xD6E8FEB86659FD93)) >> U(48)).astype(np.int64)
+
+
 class Items:
     """The item side: token hashes, exact shingle sets and sketches by size partition."""
 
@@ -106,7 +110,9 @@ class Items:
         for size, members in self.parts.items():
             sk = np.stack([(self.sets[i][None, :] * m[:, None]).min(1) for i in members], 1)  # hashes x items
             order = np.argsort(sk, axis=1, kind="stable")
-            self.index[size] = (np.take_along_axis(sk, order, 1), np.array(members)[order])
+            there = np.zeros((len(m), 1 << 16), bool)
+            there[np.arange(len(m))[:, None], _slot(sk)] = True
+            self.index[size] = (np.take_along_axis(sk, order, 1), np.array(members)[order], there)
 
     def candidates(self, s: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Distinct (text, item) whose sketches agree in ``least`` places in some window."""
@@ -126,16 +132,20 @@ class Items:
                 low = np.where((block_text[j] == block_text)[None, :], np.minimum(low, low[:, j]), low)
                 width *= 2
             pick = np.flatnonzero(number % (width // 2) == 0)
-            values, owners = self.index[size]
+            values, owners, there = self.index[size]
             pairs = []
             for k in range(len(m)):
                 w = low[k, pick]
+                maybe = np.flatnonzero(there[k][_slot(w)])
+                if not len(maybe):
+                    continue
+                w, picked = w[maybe], pick[maybe]
                 a, b = np.searchsorted(values[k], w, "left"), np.searchsorted(values[k], w, "right")
                 hit = np.flatnonzero(b > a)
                 n = b[hit] - a[hit]
                 if len(hit):
                     i = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    pairs.append(np.repeat(pick[hit], n) * len(self.ids) + owners[k, i])
+                    pairs.append(np.repeat(picked[hit], n) * len(self.ids) + owners[k, i])
             if pairs:
                 key, c = np.unique(np.concatenate(pairs), return_counts=True)
                 key = key[c >= self.cfg.least]
@@ -157,11 +167,12 @@ class Items:
         for j in np.argsort(-counts, kind="stable"):
             if counts[j] < need:
                 break
-            lo, hi = max(0, hit[j] - len(h)), min(len(doc), hit[j] + span + len(h))
+            last = hit[j + counts[j] - 1]
+            lo, hi = max(0, hit[j] - len(h) // 2), min(len(doc), last + self.cfg.shingle + len(h) // 2)
             if any(abs(hit[j] - x) <= len(h) // 2 for x in done):
                 continue
             done.append(hit[j])
-            a, b = passage(h, doc[lo:hi])
+            a, b = passage(h, doc[lo:hi], 0.17 * len(h))
             n = b - a
             if n > best:
                 best = n
@@ -171,8 +182,8 @@ class Items:
         return float(share)
 
 
-def passage(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
-    """Half-open range of the item in its best local alignment (match 1, change -1.2, gap -1.5)."""
+def passage(item: np.ndarray, doc: np.ndarray, least: float = 0.0) -> tuple[int, int]:
+    """Half-open range of the item in its best local alignment (match 1, change -1.2, gap -1.5), empty where it scores under ``least``."""
 
     def end(x, y):
         g, bad = 1.5, -1.2
@@ -188,8 +199,8 @@ def passage(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
                 best = (float(row[j]), i + 1, j)
         return best
 
-    _, i, j = end(item, doc)
-    if not i:
+    score, i, j = end(item, doc)
+    if not i or score < least:
         return 0, 0
     _, back, _ = end(item[:i][::-1], doc[:j][::-1])
     return i - back, i
