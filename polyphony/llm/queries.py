@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyphony.llm import langid, leakage, near_dup, truncation
+from polyphony.llm import abuse, langid, leakage, near_dup, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,5 +41,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.flagged(_t(spark, d, "documents"), _t(spark, d, "doc_labels"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_t(spark, d, "documents"), _t(spark, d, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_rates": p3_rates, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_rates": p3_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
