@@ -140,50 +140,77 @@ class _Tokens:
         self.stop, self.brk = stop[codes], brk[codes]
         self.ends = np.array(ends, np.int64)
 
-    def contexts(self):
-        """For n = 1..ORDERS and both spellings: (order, hashes at every position, valid)."""
-        m = len(self.codes)
-        run = np.arange(m)
+    def contexts(self, at: np.ndarray, allowed: np.ndarray | None = None):
+        """For both spellings and n = 1..ORDERS: (order, positions, hashes of the n tokens that end there).
+
+        ``allowed``: a filter over the top bits of the hashes.  An asked context is asked in every shorter form
+        too, so a position that the filter stops is not looked at with longer contexts."""
+        run = np.arange(len(self.codes))
         run = run - np.maximum.accumulate(np.where(self.brk, run, -1))  # tokens since the last break
         for kind, base in ((0, self.shaped), (1, self.raw)):
-            h = np.zeros(m, U)
+            i, h = at, np.zeros(len(at), U)
             for n in range(1, ORDERS + 1):
-                prev = np.zeros(m, U)
-                prev[n - 1 :] = base[: m - n + 1] if n > 1 else base
-                h = mix(h * U(3) + prev)
-                yield 2 * n + kind, mix(h ^ U(n * 2 + kind)), run >= n
+                ok = run[i] >= n
+                i, h = i[ok], h[ok]
+                h = mix(h * U(3) + base[i - n + 1])
+                out = mix(h ^ U(n * 2 + kind))
+                if allowed is not None:
+                    ok = allowed[(out >> U(64 - FILTER_BITS)).astype(np.int64)]
+                    i, h, out = i[ok], h[ok], out[ok]
+                yield 8 * kind + n - 1, i, out
+                if not len(i):
+                    break
 
 
 _ENDS = "rec long, source string, state string, limited boolean, chars int, bytes int, token string, own boolean, ctx array<long>"
 
 
+def end_features(texts: list[str]) -> list[tuple]:
+    """Per text: (state, last token or None, whether the text has it before, context hashes or None)."""
+    rows, open_texts = [], []
+    for t in texts:
+        state, tail = structure(t)
+        if state == "open":
+            open_texts.append((len(rows), tail))
+        rows.append((state, None, False, None))
+    if open_texts:
+        tk = _Tokens([t for _, t in open_texts])
+        ends = tk.ends - 1
+        start = np.r_[0, tk.ends[:-1] + 1]
+        good = (ends >= start) & ~tk.brk[ends]
+        ctx = np.zeros((len(tk.codes), 2 * ORDERS), np.int64) if len(tk.codes) < 1000 else None
+        table = {int(e): np.zeros(2 * ORDERS, np.int64) for e in ends[good]} if ctx is None else None
+        for o, i, h in tk.contexts(ends[good]):
+            v = as_signed(h)
+            if ctx is not None:
+                ctx[i, o] = v
+            else:
+                for x, y in zip(i.tolist(), v.tolist(), strict=True):
+                    table[x][o] = y
+        for (i, tail), a, e, g in zip(open_texts, start.tolist(), ends.tolist(), good.tolist(), strict=True):
+            if g:
+                c = (ctx[e] if ctx is not None else table[e]).tolist()
+                word = tk.words[tk.codes[e]]
+                if tk.is_word[tk.codes[e]] and tail[-1:].isalnum():
+                    rows[i] = ("open", word.lower(), bool((tk.codes[a:e] == tk.codes[e]).any()), c)
+                else:
+                    rows[i] = ("open", None, False, c)
+    return rows
+
+
 def _end_batches(batches):
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(4)]
-        rows, open_texts = [], []
-        for rec, text, source, why in zip(*cols, strict=True):
-            if rec is None:
-                continue
-            t = text or ""
-            state, tail = structure(t)
-            limited = (why or "").strip().lower() in LENGTH_REASONS
-            r = [rec, source, state, limited, len(t.rstrip("\n")), len(t.encode("utf-8", "surrogatepass")), None, False, None]
-            if state == "open":
-                open_texts.append((len(rows), tail))
-            rows.append(r)
-        if open_texts:
-            tk = _Tokens([t for _, t in open_texts])
-            ctx = list(tk.contexts())
-            start = 0
-            for (i, tail), e in zip(open_texts, tk.ends, strict=True):
-                if e > start and not tk.brk[e - 1]:
-                    w = tk.words[tk.codes[e - 1]]
-                    rows[i][8] = [int(h[e - 1].view(np.int64)) if ok[e - 1] else 0 for _, h, ok in ctx]
-                    if tk.is_word[tk.codes[e - 1]] and tail[-1:].isalnum():
-                        rows[i][6] = w.lower()
-                        rows[i][7] = bool((tk.codes[start : e - 1] == tk.codes[e - 1]).any())
-                start = e + 1
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["rec", "source", "state", "limited", "chars", "bytes", "token", "own", "ctx"]), schema=_ENDS_ARROW, preserve_index=False)
+        use = [x for x in zip(*cols, strict=True) if x[0] is not None]
+        yield pa.RecordBatch.from_arrays(end_columns(use, end_features([x[1] or "" for x in use])), schema=_ENDS_ARROW)
+
+
+def end_columns(use: list[tuple], feats: list[tuple]) -> list[pa.Array]:
+    """Columns of _ENDS for rows (rec, text, source, reason)."""
+    texts = [x[1] or "" for x in use]
+    limited = [(x[3] or "").strip().lower() in LENGTH_REASONS for x in use]
+    values = ([x[0] for x in use], [x[2] for x in use], [f[0] for f in feats], limited, [len(t.rstrip("\n")) for t in texts], [len(t.encode("utf-8", "surrogatepass")) for t in texts], *([f[k] for f in feats] for k in (1, 2, 3)))
+    return [pa.array(v, f.type) for v, f in zip(values, _ENDS_ARROW, strict=True)]
 
 
 _ENDS_ARROW = pa.schema([("rec", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("limited", pa.bool_()), ("chars", pa.int32()), ("bytes", pa.int32()), ("token", pa.string()), ("own", pa.bool_()), ("ctx", pa.list_(pa.int64()))])
@@ -225,14 +252,12 @@ def _corpus_batches(asked):
                 for i in np.flatnonzero((n > 0) & tk.is_word):
                     w = tk.words[i].lower()
                     vocab[w] = vocab.get(w, 0) + int(n[i])
-                for _, h, ok in tk.contexts():
-                    at_ = np.flatnonzero(ok & known)
-                    at_ = at_[bits[(h[at_] >> U(64 - FILTER_BITS)).astype(np.int64)]]
-                    if len(at_):
-                        keys.append(h[at_])
-                        seen.append(np.ones(len(at_)))
-                        closes.append(close[at_].astype(float))
-                        held += len(at_)
+                for _, i, h in tk.contexts(np.flatnonzero(known), bits):
+                    if len(i):
+                        keys.append(h)
+                        seen.append(np.ones(len(i)))
+                        closes.append(close[i].astype(float))
+                        held += len(i)
                 if held > 3_000_000:
                     k, s, c = folded()
                     keys, seen, closes, held = [k], [s.astype(float)], [c.astype(float)], len(k)
@@ -311,9 +336,14 @@ def judged(records: DataFrame, rec: str = "gen_id", text: str = "response_text",
     length evidence; columns other than the four named are not read; empty input gives no rows."""
     use = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(reason).alias("why"))
     ends = materialise(use.mapInArrow(_end_batches, _ENDS).dropDuplicates(["rec"]), "cut-ends")
-    spark = records.sparkSession
+    return judge(ends, use.select("text"), cut_below)
+
+
+def judge(ends: DataFrame, texts: DataFrame, cut_below: float = 0.04) -> DataFrame:
+    """The decision over text ends (columns of _ENDS) with the statistics of all ``texts``."""
+    spark = ends.sparkSession
     asked = spark.sparkContext.broadcast(np.packbits(_asked_filter(ends), bitorder="little"))
-    stats = materialise(use.select("text").mapInArrow(_corpus_batches(asked), "ctx long, word string, seen long, closes long"), "cut-corpus")
+    stats = materialise(texts.mapInArrow(_corpus_batches(asked), "ctx long, word string, seen long, closes long"), "cut-corpus")
     ctx = stats.where("ctx is not null").groupBy("ctx").agg(F.sum("seen").alias("seen"), F.sum("closes").alias("closes"))
     trie = vocabulary_prefixes(stats.where("word is not null").select("word", "seen"), ends.where("token is not null and not own"))
     open_ = ends.where("state = 'open' and ctx is not null").select("rec", F.posexplode("ctx").alias("i", "ctx")).where("ctx <> 0")
