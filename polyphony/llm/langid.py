@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import mix
+from polyphony.llm.common import U, code_points, mix
 from polyphony.session import materialise
 
 # The languages.
@@ -75,16 +75,27 @@ def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
 
 
-def word_features(word: str, buckets: int) -> np.ndarray:
-    """Bucket of each character n-gram (1 to 4, word ends marked; 1 and 2 in CJK) and of the word itself."""
-    w = word.lower()
-    if _is_cjk(w[0]):
-        grams = [w[i : i + n] for n in (1, 2) for i in range(len(w) - n + 1)]
-    else:
-        p = f" {w} "
-        grams = [p[i : i + n] for n in (1, 2, 3, 4) for i in range(len(p) - n + 1) if n > 1 or p[i] != " "]
-        grams.append("=" + w)
-    return np.array([xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % buckets for g in grams], np.int64)
+def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, number for each word): the character n-grams of each word (1 to 4, word ends marked; 1 and 2 in
+    CJK) and the word itself, hashed."""
+    low = [w.lower() for w in words]
+    cjk = np.array([_is_cjk(w[0]) for w in low], bool)
+    padded = [w if c else f" {w} " for w, c in zip(low, cjk.tolist(), strict=True)]
+    a, off = code_points(padded)
+    size = np.diff(off)
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(a)) - off[owner]
+    left = size[owner] - at
+    owners, feats = [np.arange(len(words))], [np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in low], U)]
+    h = np.zeros(len(a), U)
+    for n in (1, 2, 3, 4):
+        h[: len(a) - n + 1] = mix(h[: len(a) - n + 1] * U(3) + a[n - 1 :].astype(U) + U(n))
+        ok = (left >= n) & (~cjk[owner] | (n <= 2)) & ((n > 1) | (a != 32))
+        owners.append(owner[ok])
+        feats.append(h[ok] ^ U(n))
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (np.concatenate(feats)[order] % U(buckets)).astype(np.int64), np.bincount(owners, minlength=len(words))
 
 
 class Sentences:
@@ -140,9 +151,8 @@ class Model:
             self._index, self._rows = {}, []
         new = [w for w in words if w not in self._index]
         if new:
-            feats = [word_features(w, self.cfg.buckets) if w[0] not in _SEP else np.zeros(1, np.int64) for w in new]
-            f = np.concatenate(feats)
-            start = np.cumsum([0, *map(len, feats[:-1])])
+            f, size = word_features(new, self.cfg.buckets)
+            start = np.cumsum(np.r_[0, size[:-1]])
             idf = self.idf[f]
             v = np.concatenate([np.add.reduceat(self.w[f] * idf[:, None], start), np.add.reduceat(idf * idf, start)[:, None]], 1)
             base = sum(map(len, self._rows))
@@ -221,16 +231,12 @@ def fit(texts: list[str], labels: list[str], cfg: LangId = LangId()) -> Model:
     pick = np.sort(np.concatenate(picks))
     if not len(pick):
         return Model(cfg, np.zeros((cfg.buckets, len(LANGS)), np.float32), np.ones(cfg.buckets, np.float32), np.zeros(len(LANGS), np.float32), 1.0)
-    feats: dict[int, np.ndarray] = {}
     stop = np.r_[s.first[1:], len(s.codes)]
+    flat, size = word_features(list(s.words), cfg.buckets)
+    feats = np.split(flat, np.cumsum(size)[:-1])
 
     def row(i):
-        out = []
-        for c in s.codes[s.first[i] : stop[i]]:
-            if c not in feats:
-                feats[c] = word_features(s.words[c], cfg.buckets)
-            out.append(feats[c])
-        return np.concatenate(out)
+        return np.concatenate([feats[c] for c in s.codes[s.first[i] : stop[i]]])
 
     rows, y = [row(i) for i in pick], y[pick]
     df = np.zeros(cfg.buckets)

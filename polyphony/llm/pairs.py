@@ -1,8 +1,8 @@
 """Defects of prompt-response pairs: empty, truncated, refusal, copy, other_language.
 
 Responses are sorted by text, all together: a response whose next neighbour begins with it and goes on with
-a word is a shortened version of that neighbour.  The sort is by range, so no text or prefix makes one task hold more than its
-share; the ends of the ranges are compared in a second, tiny step.  Length-limit spikes and the statistics of
+a word is a shortened version of that neighbour.  Only texts that begin as some unfinished text begins take part, each once; the sort is by
+range, so no prefix makes one task hold more than its share; the ends of the ranges are compared in a second, tiny step.  Length-limit spikes and the statistics of
 text ends come from the truncation operator.  Copy, refusal and language rules read the response together with
 its prompt in one map.
 """
@@ -15,6 +15,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,7 @@ _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+|\n+|\.{3,}")
 _MARKUP = re.compile(r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]|^\s*(?:[-•·]|\d+[.)])\s+", re.M)
+_NOT_WORD = re.compile(r"[\W_]+")
 _GOES_ON = re.compile(r"[ ,]{0,2}\w")
 _LABEL = re.compile(r"^\s*(?:q|question|prompt|user|human|frage|pregunta|domanda|вопрос|pytanie)\s*[:：]\s*", re.I)
 
@@ -88,20 +90,30 @@ def is_refusal(text: str) -> bool:
         if _REFUSAL.search(s) or _REFUSAL.search(flat):
             found = True
         elif not _FILLER.fullmatch(flat) and not _FILLER.fullmatch(s):
-            other += sum(c.isalnum() for c in s) * (2 if any("぀" <= c <= "鿿" for c in s) else 1)
-    return found and other < 12
+            other += len(_NOT_WORD.sub("", s)) * (2 if "぀" <= s[0] <= "鿿" else 1)
+            if other >= 12:
+                return False
+    return found
 
 
 def _plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", _LABEL.sub("", text)).lower() if c.isalnum())
+    return _NOT_WORD.sub("", unicodedata.normalize("NFKC", _LABEL.sub("", text)).lower())
 
 
 def is_copy(text: str, prompt: str | None) -> bool:
     """Nothing but the prompt, once or repeated, perhaps slightly changed or marked up."""
     if not prompt:
         return False
-    p = _plain(prompt)
+    if len(text) > 8 * len(prompt) + 80 and "<think" not in text:
+        return False
     t = _THINK.sub("", text)
+    words = prompt.lower().split()
+    if len(words) < 4:  # not written with blanks
+        words = [prompt[i : i + 3] for i in range(0, len(prompt) - 2, 3)]
+    low = t.lower()
+    if sum(w in low for w in words) < 0.4 * len(words):  # a cheap look before the exact one
+        return False
+    p = _plain(prompt)
     if len(p) < 5 or len(t) > 8 * len(prompt) + 80:
         return False
     t = _plain(_MARKUP.sub("", t))
@@ -117,7 +129,7 @@ def is_copy(text: str, prompt: str | None) -> bool:
     return False
 
 
-_RULES = "empty boolean, refusal boolean, copy boolean, other boolean"
+_RULES = "empty boolean, refusal boolean, copy boolean, other boolean, head long, digest long"
 
 
 def _rule_batches(shared):
@@ -146,40 +158,78 @@ def _rule_batches(shared):
                     pl, pc = known.get(x[4], (-1, 0.0)) if x[4] else (-1, 0.0)
                     several = len({s[0] for s in mixed.get(i, [])}) > 1
                     other.append(bool(not empty[i] and not copy[i] and not several and letters[i] >= 10 and pl >= 0 and lang[i] >= 0 and lang[i] != pl and pc > 0.6 and conf[i] > 0.6))
-                ends = truncation.end_columns([x[:4] for x in part], truncation.end_features(texts))
+                feats = truncation.end_features(texts)
+                ends = truncation.end_columns([x[:4] for x in part], feats)
+                bare = [t.rstrip(_TAIL) if f[0] == "open" else "" for t, f in zip(texts, feats, strict=True)]
+                keys = [pa.array([_signed(_digest(t[: HEAD if head else None])) if len(t) >= HEAD else None for t in bare], pa.int64()) for head in (True, False)]
                 flags = [pa.array(np.array(v, bool)) for v in (empty, refusal, copy, other)]
-                yield pa.RecordBatch.from_arrays([*ends, *flags], [*(f.name for f in truncation._ENDS_ARROW), "empty", "refusal", "copy", "other"])
+                yield pa.RecordBatch.from_arrays([*ends, *flags, *keys], [*(f.name for f in truncation._ENDS_ARROW), "empty", "refusal", "copy", "other", "head", "digest"])
+
+    return run
+
+
+_TAIL = " \t\n\r.…"
+HEAD = 16
+FILTER_BITS = 24
+
+
+def _digest(t: str) -> int:
+    return xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _with_known_head(shared):
+    """Texts, without trailing blanks and dots, that begin as some open text begins."""
+
+    def run(batches):
+        bits = np.unpackbits(shared.value, bitorder="little")
+        for batch in batches:
+            texts = [t.rstrip(_TAIL) for t in batch.column(0).to_pylist() if t and len(t) >= HEAD]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t in texts if len(t) >= HEAD and bits[_digest(t[:HEAD]) >> (64 - FILTER_BITS)]], pa.string())], ["text"])
 
     return run
 
 
 def _neighbours(batches):
-    """Within a sorted range: records that the next text begins with; and the first and last text of the range."""
-    recs: list[int] = []
+    """Within a sorted range: digests of the texts that the next text continues; and the first and last text of the range."""
+    found: list[int] = []
     first = held = None
     for batch in batches:
-        for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text in batch.column(0).to_pylist():
             if first is None:
-                first = (rec, text)
-            if held is not None and len(held[1]) < len(text) and text.startswith(held[1]) and _GOES_ON.match(text, len(held[1])):
-                recs.append(held[0])
-            held = (rec, text)
-    n = len(recs)
+                first = text
+            if held is not None and len(held) < len(text) and text.startswith(held) and _GOES_ON.match(text, len(held)):
+                found.append(_signed(_digest(held)))
+            held = text
+    n = len(found)
     kinds, texts = ["short"] * n, [None] * n
     if first is not None:
-        recs, kinds, texts = [*recs, first[0], held[0]], [*kinds, "first", "last"], [*texts, first[1], held[1]]
-    yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["rec", "kind", "text"])
-
-
-def shortened(texts: DataFrame) -> DataFrame:
-    """rec of the texts (rec, text; distinct texts, none blank) of which another text is a longer version."""
-    k = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.sparkSession.sparkContext.defaultParallelism)
-    ranges = texts.repartitionByRange(k, "text").sortWithinPartitions("text").mapInArrow(_neighbours, "rec long, kind string, text string")
+        found, kinds, texts = [*found, 0, _signed(_digest(held))], [*kinds, "first", "last"], [*texts, first, held]
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["digest", "kind", "text"])
+
+
+def shortened(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """digest of the texts that another text continues, among the texts whose first letters are in ``heads``.
+
+    heads: head, the digest of the first HEAD letters of a text asked for; it becomes a bit map of fixed size."""
+    spark = texts.sparkSession
+    slot = f"shiftrightunsigned(head, {64 - FILTER_BITS})"
+    words = heads.where("head is not null").select(F.expr(f"cast({slot} / 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[got.w.to_numpy()] = got.b.to_numpy()
+    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
+    k = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    some = materialise(texts.mapInArrow(_with_known_head(shared), "text string").distinct(), "pair-texts")
+    ranges = some.repartitionByRange(k, "text").sortWithinPartitions("text").mapInArrow(_neighbours, "digest long, kind string, text string")
     got = materialise(ranges, "pair-neighbours")
     ends = got.where("kind <> 'short'")  # two rows a range
     w = Window.orderBy("text", F.when(F.col("kind") == "first", 0).otherwise(1))
     edge = ends.withColumn("after", F.lead("text").over(w)).where(r"kind = 'last' and after <> text and startswith(after, text) and substring(after, length(text) + 1) rlike '^[ ,]{0,2}[\\p{L}\\p{N}]'")
-    return got.where("kind = 'short'").select("rec").union(edge.select("rec")).distinct()
+    return got.where("kind = 'short'").select("digest").union(edge.select("digest")).distinct()
 
 
 def defects(responses: DataFrame, prompts: DataFrame, cfg: langid.LangId = langid.LangId(per_label=900, sentences=1500)) -> DataFrame:
@@ -194,13 +244,9 @@ def defects(responses: DataFrame, prompts: DataFrame, cfg: langid.LangId = langi
     p = prompts.where("prompt_id is not null").groupBy("prompt_id").agg(F.max("prompt_text").alias("prompt_text"))
     rows = use.join(p, "prompt_id", "left").select("rec", "text", "source", "why", "prompt_text")
     got = materialise(rows.mapInArrow(_rule_batches(shared), f"{truncation._ENDS}, {_RULES}").dropDuplicates(["rec"]), "pair-rules")
-    cut = truncation.judge(got.drop("empty", "refusal", "copy", "other"), use.select("text"))
-    trimmed = use.select("rec", F.regexp_replace("text", r"[\s.…]+$", "").alias("text")).where("rec is not null and length(text) >= 16")
-    distinct = trimmed.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min_by("text", "rec").alias("text"), F.min("rec").alias("rec"))
-    open_ = got.where("state = 'open' and not empty").select("rec")
-    same = trimmed.select(F.col("rec"), F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct()
-    short = shortened(distinct.select("rec", "text"))
-    short = short.join(distinct.select("rec", "h", "n"), "rec").select("h", "n").join(same, ["h", "n"]).select("rec").join(open_, "rec", "left_semi")
+    cut = truncation.judge(got.drop("empty", "refusal", "copy", "other", "head", "digest"), use.select("text"))
+    asked = got.where("digest is not null and not empty")
+    short = asked.join(shortened(use.select("text"), asked.select("head")), "digest").select("rec")
     cut = cut.where("cut").select("rec").union(short).distinct().join(got.where("empty").select("rec"), "rec", "left_anti")
     flag = lambda c, name: got.where(c).select("rec", F.lit(name).alias("defect"))
     out = flag("empty", "empty").union(flag("refusal", "refusal")).union(flag("copy", "copy")).union(flag("other", "other_language"))
