@@ -104,7 +104,11 @@ def pack(sizes: DataFrame, containers: DataFrame, cfg: Packing = Packing()) -> D
         raise ValueError("containers is a small table of kinds")
     items = sizes.where("doc_id is not null and tokens > 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("tokens").cast("long")).alias("tokens"))
     items = materialise(items, "pack-items")
-    deal = lambda df, n, *by: df.withColumn("g", F.pmod(F.xxhash64(*by), F.lit(max(1, -(-n // cfg.group)))))
+
+    def deal(df: DataFrame, n: int, *by) -> DataFrame:
+        groups = max(1, -(-n // cfg.group))  # each group is long work on few bytes, so partitions follow the groups
+        return df.withColumn("g", F.pmod(F.xxhash64(*by), F.lit(groups))).repartition(min(groups, 10_000), "g")
+
     done = None
     rows = deal(items, items.count(), "doc_id")
     for stage in range(cfg.rounds):
