@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_cf(a, b, x, steps: int = 300):
@@ -76,16 +77,16 @@ def _null(x) -> pd.Series:
     return pd.Series(x).where(~pd.isna(pd.Series(x)), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _null(f_tail(f.astype(float).to_numpy(), d1.astype(float).to_numpy(), d2.astype(float).to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf2(t: pd.Series, df: pd.Series) -> pd.Series:
     return _null(t_two_sided(t.astype(float).to_numpy(), df.astype(float).to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wilcoxon_sf2(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return _null([None if pd.isna(a) else wilcoxon_p(a, int(b), c) for a, b, c in zip(w, n, ties, strict=True)])
