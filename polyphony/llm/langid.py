@@ -66,7 +66,7 @@ class LangId:
 
 
 _CJK = "぀-ヿ㐀-鿿"
-_TOK = re.compile(rf"[{_CJK}々ー]{{1,4}}|(?:(?![{_CJK}])[^\W\d_])+(?:['’·](?:(?![{_CJK}])[^\W\d_])+)*|[.!?…]+(?!\w)|[。！？]|\n+|[()（）“”«»「」|]")
+_TOK = re.compile(rf"[^\W\d_{_CJK}々ー]+(?:['’·][^\W\d_{_CJK}々ー]+)*|[{_CJK}々ー]{{1,4}}|[.!?…]+(?!\w)|[。！？]|\n+|[()（）“”«»「」|]")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _SEP = frozenset(".!?…。！？\n()（）“”«»「」|")
 

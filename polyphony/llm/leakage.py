@@ -44,7 +44,7 @@ class Leakage:
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
 _DROP = re.compile(r"[*`~​‌‍⁠﻿­]|(?<=\w)__(?=\w)")
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])[^\W_])+")
+_TOKEN = re.compile(r"[^\W_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]")
 
 
 def tokens(text: str | None) -> list[str]:

@@ -38,7 +38,7 @@ STAND_INS = "null none nil nan n/a na - -- empty undefined missing unknown (empt
 # Words for a length stop used by providers.
 LENGTH_REASONS = ("length", "max_tokens", "max_length", "max_output_tokens", "token_limit", "model_length", "truncated", "incomplete")
 
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W\d_]+(?:['’·][^\W\d_]+)*|\d+|[.!?。！？…]+|\n")
+_TOKEN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+(?:['’·][^\W\d_぀-ヿ㐀-鿿가-힯]+)*|[぀-ヿ㐀-鿿가-힯]|\d+|[.!?。！？…]+|\n")
 _STOP = ".!?。！？…"
 _MARK_WORD = re.compile(r"[\[<({（【][\s|_*.…-]*(?:truncated|trunc|cut|cut off|snip|snipped|continued|cont\.?|more|\.{3}|…)[\s|_*.…-]*[\]>)}）】]\s*$", re.I)
 _EMOJI = re.compile(r"(?:[←-⇿☀-➿\U0001f000-\U0001faff⬀-⯿️‍]|[:;]-?[)(DP]|[(（][^)）]*[)）])\s*$")
@@ -68,7 +68,7 @@ def structure(text: str) -> tuple[str, str]:
         return "cut", s
     if s.endswith("```"):
         return "whole", s
-    if _MARK_WORD.search(s):
+    if _MARK_WORD.search(s[-80:]):  # both patterns end with the text and are short
         return "cut", s
     lines = body.rstrip().split("\n")
     last = lines[-1]
@@ -79,7 +79,7 @@ def structure(text: str) -> tuple[str, str]:
         row = last.strip()
         whole = len(row) > 1 and row.endswith("|") and (first == len(lines) - 1 or row.count("|") == lines[first].count("|"))
         return ("whole" if whole else "cut"), s
-    if _EMOJI.search(s):
+    if _EMOJI.search(s[-80:]):
         return "whole", s
     t = s.rstrip(_CLOSERS)
     if not t:
