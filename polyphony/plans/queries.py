@@ -273,12 +273,12 @@ def _scores(spark, d):
 
 @query
 def fluency_summary(spark, d):
-    return rounded(profiles.fluency_summary(_scores(spark, d)))
+    return rounded(profiles.fluency_summary(_scores(spark, d)), 9)
 
 
 @query
 def fluent_cells(spark, d):
-    return rounded(profiles.fluency_summary(_scores(spark, d)).where("match_rate >= 0.8 and language is not null"))
+    return rounded(profiles.fluency_summary(_scores(spark, d)).where("match_rate >= 0.8 and language is not null"), 9)
 
 
 def _counts(spark, d):
