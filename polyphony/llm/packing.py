@@ -65,7 +65,7 @@ _ROW = "container_class string, capacity long, doc_id long, piece int, tokens lo
 def _pack(kinds: list[tuple[str, int]], cfg: Packing, stage: int):
     capacity = dict(kinds)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for name, cap in kinds:
             own = pdf[pdf.container_class == name] if stage else pdf
@@ -88,8 +88,7 @@ def _pack(kinds: list[tuple[str, int]], cfg: Packing, stage: int):
                 d, p = np.repeat(doc[split], full[split]), np.concatenate([np.arange(x) for x in full[split]])
                 parts.append(pd.DataFrame({"doc_id": d, "piece": p, "tokens": cap, "bin_id": [f"{tag}d{x}.{y}" for x, y in zip(d, p, strict=True)], "filled": cap, "container_class": name, "capacity": cap}))
         cols = ["container_class", "capacity", "doc_id", "piece", "tokens", "bin_id", "filled"]
-        out = pd.concat(parts)[cols] if parts else pd.DataFrame({c: [] for c in cols})
-        return out.astype({"capacity": "int64", "doc_id": "int64", "piece": "int32", "tokens": "int64", "filled": "int64"})
+        return pd.concat(parts, ignore_index=True)[cols].astype({"capacity": "int64", "doc_id": "int64", "piece": "int32", "tokens": "int64", "filled": "int64"})
 
     return run
 
@@ -102,6 +101,8 @@ def pack(sizes: DataFrame, containers: DataFrame, cfg: Packing = Packing()) -> D
     kinds = sorted({(r.container_class, int(r.capacity_tokens)) for r in containers.where("container_class is not null and capacity_tokens > 0").select("container_class", "capacity_tokens").limit(10_001).collect()})
     if len(kinds) > 10_000:
         raise ValueError("containers is a small table of kinds")
+    if not kinds:
+        return sizes.sparkSession.createDataFrame([], _ROW)
     items = sizes.where("doc_id is not null and tokens > 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("tokens").cast("long")).alias("tokens"))
     items = materialise(items, "pack-items")
 
