@@ -108,7 +108,7 @@ def mixed_model(cells: DataFrame, y: str, predictors: list[str], spec: str) -> D
         sd = z.std(ddof=1)
         use = [c for c in predictors if sd[c] > 0]
         if len(d) < len(use) + 4 or d.model.nunique() < 2 or d.language.nunique() < 2:
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: pd.Series([], dtype=object if c in ("spec", "term") else "int64" if c == "n" else float) for c in cols})
         z = (z[use] - z[use].mean()) / sd[use]
         x = np.column_stack([np.ones(len(d)), z.to_numpy()])
         r = fit_crossed(d[y].to_numpy(float), x, d.model.to_numpy(), d.language.to_numpy())
