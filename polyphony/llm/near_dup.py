@@ -84,10 +84,10 @@ def sketch(texts: list[str], cfg: NearDup) -> tuple[np.ndarray, np.ndarray, np.n
     key = np.broadcast_to(np.arange(1, cfg.bands + 1, dtype=U) * U(0x9E3779B97F4A7C15), (len(texts), cfg.bands))
     for r in range(cfg.rows):
         key = mix(key ^ m[:, :, r])
-    return sizes, bits, key
+    return sizes, bits, (key >> U(32)).astype(np.uint32)
 
 
-_SKETCH = "rec long, th long, th2 long, n int, w0 long, w1 long, w2 long, w3 long, keys array<long>"
+_SKETCH = "rec long, th long, th2 long, n int, w0 long, w1 long, w2 long, w3 long, keys array<int>"
 
 
 def _sketch_batches(cfg: NearDup):
@@ -103,7 +103,7 @@ def _sketch_batches(cfg: NearDup):
                 n, w, k = sketch(part, cfg)
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part), np.int64).reshape(-1, 2)
                 w = as_signed(np.ascontiguousarray(w))
-                keys = pa.ListArray.from_arrays(np.arange(0, k.size + 1, cfg.bands, dtype=np.int32), pa.array(as_signed(np.ascontiguousarray(k)).ravel()))
+                keys = pa.ListArray.from_arrays(np.arange(0, k.size + 1, cfg.bands, dtype=np.int32), pa.array(np.ascontiguousarray(k).view(np.int32).ravel()))
                 cols = [pa.array(ids[at : at + 1024], pa.int64()), *(pa.array(np.ascontiguousarray(d[:, j])) for j in range(2)), pa.array(n), *(pa.array(np.ascontiguousarray(w[:, j])) for j in range(4)), keys]
                 yield pa.RecordBatch.from_arrays(cols, ["rec", "th", "th2", "n", "w0", "w1", "w2", "w3", "keys"])
 
@@ -122,7 +122,8 @@ def _frequent_keys(cfg: NearDup, parts: int):
     def run(batches):
         kept: dict[int, int] = {}
         for batch in batches:
-            k, c = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            k = batch.column(0).flatten().to_numpy().astype(np.int64).reshape(-1, cfg.bands)
+            k, c = np.unique(k + (np.arange(cfg.bands) << 32), return_counts=True)
             for x, y in zip(k[c >= 2].tolist(), c[c >= 2].tolist(), strict=True):
                 kept[x] = kept.get(x, 0) + y
         out = [(k, c) for k, c in kept.items() if c >= least // 2]
@@ -218,7 +219,8 @@ def candidate_pairs(reps: DataFrame, cfg: NearDup) -> DataFrame:
     """(a, b), a < b: representatives whose sketches lie within the radius and share a band key."""
     spark = reps.sparkSession
     parts = max(1, reps.rdd.getNumPartitions())
-    rows = reps.select("rec", "n", "w0", "w1", "w2", "w3", F.explode("keys").alias("key"))
+    rows = reps.select("rec", "n", "w0", "w1", "w2", "w3", F.posexplode("keys").alias("band", "k"))
+    rows = rows.withColumn("key", F.col("k") + F.shiftleft(F.col("band").cast("long"), 32)).drop("band", "k")
     hot = (
         reps.select("keys").mapInArrow(_frequent_keys(cfg, parts), "key long, c long")
         .groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > cfg.hot // 2)
