@@ -351,31 +351,34 @@ def assess(model: Model, texts: list[str]):
     return s.text_letters, out_lang, conf, stretches
 
 
-_OUT = "rec_type string, rec_id string, label string, letters long, lang string, confidence double, stretches array<struct<lang:string,confidence:double,first:int,last:int>>"
+_OUT = "rec_type string, rec_id string, label string, base string, letters long, lang string, confidence double, stretches array<struct<lang:string,confidence:double,first:int,last:int>>"
 _OUT_TYPE = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
 
 
 def _assess_batches(shared):
     def run(batches):
         model = shared.value
+        bases: dict[str | None, str | None] = {}
         for batch in batches:
             a, b, c, texts = (batch.column(i).to_pylist() for i in range(4))
+            for x in set(c) - bases.keys():
+                bases[x] = base_language(x)
             for o in range(0, len(texts), 2000):
                 letters, lang, conf, st = assess(model, [x or "" for x in texts[o : o + 2000]])
                 m = len(letters)
                 parts = [[dict(zip(("lang", "confidence", "first", "last"), x, strict=True)) for x in st.get(i, [])] for i in range(m)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[o : o + m], pa.string()), pa.array(b[o : o + m], pa.string()), pa.array(c[o : o + m], pa.string()), pa.array(letters, pa.int64()), pa.array([LANGS[x] if x >= 0 else None for x in lang], pa.string()), pa.array(conf), pa.array(parts, _OUT_TYPE)],
-                    ["rec_type", "rec_id", "label", "letters", "lang", "confidence", "stretches"],
+                    [pa.array(a[o : o + m], pa.string()), pa.array(b[o : o + m], pa.string()), pa.array(c[o : o + m], pa.string()), pa.array([bases[x] for x in c[o : o + m]], pa.string()), pa.array(letters, pa.int64()), pa.array([LANGS[x] if x >= 0 else None for x in lang], pa.string()), pa.array(conf), pa.array(parts, _OUT_TYPE)],
+                    ["rec_type", "rec_id", "label", "base", "letters", "lang", "confidence", "stretches"],
                 )
 
     return run
 
 
 def identify(records: DataFrame, model: Model | None = None, cfg: LangId = LangId()) -> DataFrame:
-    """rec_type, rec_id, label, letters, lang, confidence, stretches: one row per record.
+    """rec_type, rec_id, label, base, letters, lang, confidence, stretches: one row per record.
 
-    ``lang`` is NULL where the text is NULL or has no letters.  ``stretches`` is filled where strong sentences
+    ``base`` is the base language that the label names, NULL where it names none.  ``lang`` is NULL where the text is NULL or has no letters.  ``stretches`` is filled where strong sentences
     are in two or more languages, with token offsets.  Repeated rows of a record count once."""
     spark = records.sparkSession
     model = model or train(records, cfg)
@@ -390,9 +393,6 @@ def label_issues(responses: DataFrame, prompts: DataFrame, cfg: LangId = LangId(
     several = F.array_sort(F.array_distinct(F.transform("stretches", lambda x: x["lang"])))
     got = got.withColumn("langs", several)
     mixed = got.where("size(langs) > 1").select("rec_type", "rec_id", F.lit("mixed").alias("issue"), F.explode("langs").alias("lang"))
-    labels = [r.label for r in got.select("label").distinct().limit(100_000).collect()]
-    spark = responses.sparkSession
-    base = spark.createDataFrame([(x, base_language(x)) for x in labels if x is not None] or [("", None)], "label string, base string")
-    one = got.where("size(langs) <= 1 and lang is not null").join(F.broadcast(base), "label", "left")
+    one = got.where("size(langs) <= 1 and lang is not null")
     one = one.withColumn("issue", F.when(F.col("base").isNull(), "missing").when(F.col("base") != F.col("lang"), "wrong"))
     return one.where("issue is not null").select("rec_type", "rec_id", "issue", "lang").union(mixed)
