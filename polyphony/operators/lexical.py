@@ -96,16 +96,19 @@ def _batch(rows, schema, n_keys):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*names, "ra", "rb", "total", "pairs"])
 
 
-def pair_sums(texts: DataFrame, block: list[str], resp: str, text: str, n: int = 4, same: bool = True, tile: int = TILE) -> DataFrame:
+def pair_sums(texts: DataFrame, block: list[str], resp: str, text: str, n: int = 4, same: bool = True, key: str | None = None, tile: int = TILE) -> DataFrame:
     """block, ra, rb, total, pairs: sum and number of the defined Jaccard similarities of two rows of a block.
 
     ``same``: pairs of one respondent, else of two (ra < rb).  A NULL text is an empty one; two texts without
-    n-grams have no similarity; block columns are strings, and rows with a NULL in them or in ``resp`` are left out."""
-    rows = texts.dropna(subset=[*block, resp]).select(*(F.col(c).cast("string").alias(c) for c in block), F.col(resp).cast("string").alias("resp"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n-grams have no similarity; ``key``: a column that tells rows apart, which saves a shuffle of the texts; block columns are strings, and rows with a NULL in them or in ``resp`` are left out."""
+    id_ = [F.col(key).alias("id")] if key else []
+    rows = texts.dropna(subset=[*block, resp]).select(*(F.col(c).cast("string").alias(c) for c in block), F.col(resp).cast("string").alias("resp"), F.coalesce(F.col(text), F.lit("")).alias("text"), *id_)
     size = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    # The tile of a row is fixed by its content, so a lost task finds the same rows again; equal rows are dealt by their count.
-    nth = F.row_number().over(Window.partitionBy(*block, F.pmod(F.xxhash64("resp", "text"), F.lit(64))).orderBy("resp", "text"))
-    rows = rows.join(size, block).withColumn("t", F.pmod(F.xxhash64("text", "resp", nth), F.col("tiles")).cast("int"))
+    # The tile of a row is fixed by its key or, without one, by its content and its place among equal rows, so a lost
+    # task finds the same rows again.
+    if not key:
+        rows = rows.withColumn("id", F.row_number().over(Window.partitionBy(*block, F.pmod(F.xxhash64("resp", "text"), F.lit(64))).orderBy("resp", "text")))
+    rows = rows.join(size, block).withColumn("t", F.pmod(F.xxhash64("id", "resp"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
     rows = rows.select(*block, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "resp", "text")
     keys = [*block, "i", "j"]
@@ -114,15 +117,15 @@ def pair_sums(texts: DataFrame, block: list[str], resp: str, text: str, n: int =
     return parts.groupBy(*block, "ra", "rb").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
 
 
-def intra_jaccard(texts: DataFrame, n: int = 4) -> DataFrame:
+def intra_jaccard(texts: DataFrame, n: int = 4, key: str | None = None) -> DataFrame:
     """model, language, prompt_id, intra_sim, n_samples: mean over pairs of a cell's texts; NULL without a defined pair."""
     cell = ["model", "language", "prompt_id"]
-    sums = pair_sums(texts.withColumn("r", F.col("model")), cell, "r", "text", n)
+    sums = pair_sums(texts.withColumn("r", F.col("model")), cell, "r", "text", n, key=key)
     size = texts.dropna(subset=cell).groupBy(*cell).agg(F.count(F.lit(1)).alias("n_samples"))
     return size.join(sums.select(*cell, (F.col("total") / F.col("pairs")).alias("intra_sim")), cell, "left").select(*cell, "intra_sim", "n_samples")
 
 
-def inter_jaccard(texts: DataFrame, k: int = 10, n: int = 4) -> DataFrame:
+def inter_jaccard(texts: DataFrame, k: int = 10, n: int = 4, key: str | None = None) -> DataFrame:
     """model_a < model_b, language, prompt_id, inter_sim over the first k samples of each cell."""
-    sums = pair_sums(texts.where(F.col("sample_idx") < k), ["language", "prompt_id"], "model", "text", n, same=False)
+    sums = pair_sums(texts.where(F.col("sample_idx") < k), ["language", "prompt_id"], "model", "text", n, same=False, key=key)
     return sums.select(F.col("ra").alias("model_a"), F.col("rb").alias("model_b"), "language", "prompt_id", (F.col("total") / F.col("pairs")).alias("inter_sim"))

@@ -85,7 +85,7 @@ def human_jaccard(spark, d):
 
 @query
 def inter_jaccard(spark, d):
-    return rounded(lexical.inter_jaccard(V.generations(spark, d, "model", "language", "prompt_id", "sample_idx", "text")))
+    return rounded(lexical.inter_jaccard(V.generations(spark, d, "gen_id", "model", "language", "prompt_id", "sample_idx", "text"), key="gen_id"))
 
 
 @query

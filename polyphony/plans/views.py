@@ -49,10 +49,10 @@ def cosine(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def llm_jaccard(spark: SparkSession, d: str, trunc: int | None = None) -> DataFrame:
-    g = generations(spark, d, "model", "language", "prompt_id", "text")
-    return lexical.intra_jaccard(g.withColumn("text", F.substring("text", 1, trunc)) if trunc else g)
+    g = generations(spark, d, "gen_id", "model", "language", "prompt_id", "text")
+    return lexical.intra_jaccard(g.withColumn("text", F.substring("text", 1, trunc)) if trunc else g, key="gen_id")
 
 
 def human_jaccard(spark: SparkSession, d: str, trunc: int | None = None) -> DataFrame:
     h = prompts.human_answers(human_prompts(spark, d)).where("human_idx is not null").withColumn("model", F.lit("Human"))
-    return lexical.intra_jaccard(h.withColumn("text", F.substring("text", 1, trunc)) if trunc else h)
+    return lexical.intra_jaccard(h.withColumn("text", F.substring("text", 1, trunc)) if trunc else h, key="human_idx")

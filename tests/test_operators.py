@@ -69,20 +69,20 @@ def mean(v):
     return sum(v) / len(v) if v else None
 
 
-@pytest.mark.parametrize("tile", [3, 256])
-def test_jaccard_equals_all_pairs(spark, tile, monkeypatch):
+@pytest.mark.parametrize("tile,key", [(3, None), (256, None), (3, "sample_idx")])
+def test_jaccard_equals_all_pairs(spark, tile, key, monkeypatch):
     monkeypatch.setattr(lexical.pair_sums, "__defaults__", (*lexical.pair_sums.__defaults__[:-1], tile))
     rng = random.Random(0)
     words = ["alpha", "beta", "gamma", "🙂🙂x", "日本語です", "delta"]
     rows = [(m, "en", p, rng.choice([None, "", "abc", *[" ".join(rng.choices(words, k=5)) for _ in range(6)]]), i, "x") for m in "abc" for p in "pq" for i in range(9)]
     df = spark.createDataFrame(rows + [(None, "en", "p", "zzzz", 1, "x"), ("a", None, "p", "zzzz", 1, "x")], TEXT)
-    got = {(r.model, r.prompt_id): r for r in lexical.intra_jaccard(df).collect()}
+    got = {(r.model, r.prompt_id): r for r in lexical.intra_jaccard(df, key=key).collect()}
     assert len(got) == 6
     for (m, p), r in got.items():
         t = [x[3] for x in rows if x[0] == m and x[2] == p]
         want = mean(jac(a, b) for a, b in itertools.combinations(t, 2))
         assert r.n_samples == 9 and (r.intra_sim == pytest.approx(want) if want is not None else r.intra_sim is None)
-    for r in lexical.inter_jaccard(df, k=4).collect():
+    for r in lexical.inter_jaccard(df, k=4, key=key).collect():
         a = [x[3] for x in rows if x[0] == r.model_a and x[2] == r.prompt_id and x[4] < 4]
         b = [x[3] for x in rows if x[0] == r.model_b and x[2] == r.prompt_id and x[4] < 4]
         assert r.model_a < r.model_b and r.inter_sim == pytest.approx(mean(jac(x, y) for x in a for y in b))
