@@ -266,6 +266,34 @@ def _exact(cfg: NearDup):
     return run
 
 
+SLOTS = 16_777_213
+
+
+def _with_ids(shared):
+    """Rows whose id may be asked for: a bit map of fixed size lets few others through, and the join that follows drops them."""
+
+    def run(batches):
+        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        for batch in batches:
+            ok = bits[np.mod(batch.column(0).to_numpy(zero_copy_only=False), SLOTS)]
+            if ok.any():
+                yield batch.filter(pa.array(ok))
+
+    return run
+
+
+def rows_of(rows: DataFrame, ids: DataFrame, schema: str) -> DataFrame:
+    """Rows (first column rec LONG, not NULL) whose rec is in ``ids``, without shuffling the others."""
+    spark = rows.sparkSession
+    slot = F.pmod("rec", F.lit(SLOTS))
+    words = ids.select(F.floor(slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(rec, {SLOTS}), 64) as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most SLOTS / 64 rows
+    bits = np.zeros(-(-SLOTS // 64), np.int64)
+    bits[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
+    return rows.mapInArrow(_with_ids(shared), schema).join(ids, "rec", "left_semi")
+
+
 def similar_classes(records: DataFrame, cfg: NearDup = NearDup(), rec: str = "gen_id", text: str = "response_text") -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives: a, b, similarity; members: rid, rec).
 
@@ -282,8 +310,8 @@ def similar_classes(records: DataFrame, cfg: NearDup = NearDup(), rec: str = "ge
     members = members.join(first, ["th", "th2"]).select("rid", "rec")
     cand = materialise(candidate_pairs(reps, cfg), "near-dup-candidates")
     ids = cand.select(F.col("a").alias("rec")).union(cand.select(F.col("b").alias("rec"))).distinct()
-    texts = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).where(F.length("text") >= cfg.min_chars)
-    texts = materialise(texts.join(ids, "rec", "left_semi").dropDuplicates(["rec"]), "near-dup-texts")
+    texts = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).where((F.length("text") >= cfg.min_chars) & F.col("rec").isNotNull())
+    texts = materialise(rows_of(texts, ids, "rec long, text string").dropDuplicates(["rec"]), "near-dup-texts")
     both = cand.join(texts.select(F.col("rec").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("rec").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     pairs = both.mapInArrow(_exact(cfg), "a long, b long, similarity double")
