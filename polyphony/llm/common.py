@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 U = np.uint64
 _M1, _M2, _G = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -39,5 +40,12 @@ def squeeze(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small table in one file would be the work of one
+    task.  A table that has enough partitions is left as it is."""
+    k = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= k else df.repartition(k)
+
+
 def as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

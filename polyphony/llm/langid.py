@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import U, code_points, mix
+from polyphony.llm.common import U, code_points, mix, spread
 from polyphony.session import materialise
 
 # The languages.
@@ -383,7 +383,7 @@ def identify(records: DataFrame, model: Model | None = None, cfg: LangId = LangI
     spark = records.sparkSession
     model = model or train(records, cfg)
     shared = spark.sparkContext.broadcast(model)  # of fixed size: buckets x languages
-    out = records.where("rec_id is not null").select("rec_type", "rec_id", "label", "text").mapInArrow(_assess_batches(shared), _OUT)
+    out = spread(records.where("rec_id is not null").select("rec_type", "rec_id", "label", "text")).mapInArrow(_assess_batches(shared), _OUT)
     return out.dropDuplicates(["rec_type", "rec_id"])
 
 

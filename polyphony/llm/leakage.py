@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import U, mix
+from polyphony.llm.common import U, mix, spread
 
 BLOCK = 16
 
@@ -240,7 +240,7 @@ def leaked(documents: DataFrame, items: DataFrame, cfg: Leakage = Leakage()) ->
     spark = documents.sparkSession
     keyed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
     chunks = max(1, -(-keyed.count() // cfg.chunk))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text is not null"))
     out = None
     for c in range(chunks):
         rows = keyed.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c).dropDuplicates(["item_id"]).collect()

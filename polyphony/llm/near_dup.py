@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import U, as_signed, code_points, mix, squeeze, window_hashes
+from polyphony.llm.common import U, as_signed, code_points, mix, spread, squeeze, window_hashes
 from polyphony.session import materialise
 
 BITS = 256
@@ -112,7 +112,7 @@ def _sketch_batches(cfg: NearDup):
 
 def sketches(records: DataFrame, cfg: NearDup, rec: str, text: str) -> DataFrame:
     """One row per record and delivery whose normalised text has ``min_chars`` or more."""
-    return records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).mapInArrow(_sketch_batches(cfg), _SKETCH)
+    return spread(records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text"))).mapInArrow(_sketch_batches(cfg), _SKETCH)
 
 
 def _frequent_keys(cfg: NearDup, parts: int):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyphony.llm import langid, truncation
+from polyphony.llm.common import spread
 from polyphony.session import materialise
 
 # What a refusal says, as patterns over a lower-case sentence without markup, by language.
@@ -240,7 +241,7 @@ def defects(responses: DataFrame, prompts: DataFrame, cfg: langid.LangId = langi
     spark = responses.sparkSession
     model = langid.train(langid.subjects(responses, prompts), cfg)
     shared = spark.sparkContext.broadcast(model)
-    use = responses.select(F.col("gen_id").cast("long").alias("rec"), F.col("response_text").alias("text"), F.col("model").alias("source"), F.col("finish_reason").alias("why"), "prompt_id")
+    use = spread(responses.select(F.col("gen_id").cast("long").alias("rec"), F.col("response_text").alias("text"), F.col("model").alias("source"), F.col("finish_reason").alias("why"), "prompt_id"))
     p = prompts.where("prompt_id is not null").groupBy("prompt_id").agg(F.max("prompt_text").alias("prompt_text"))
     rows = use.join(p, "prompt_id", "left").select("rec", "text", "source", "why", "prompt_text")
     got = materialise(rows.mapInArrow(_rule_batches(shared), f"{truncation._ENDS}, {_RULES}").dropDuplicates(["rec"]), "pair-rules")

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyphony.llm.common import spread
 from polyphony.llm.langid import base_language
 
 #: The published pattern that splits text before the merges of the byte-level rank files.
@@ -178,7 +179,7 @@ def count_tokens(rows: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     language, 'unknown' where it names none; a NULL source or slice stays NULL."""
     shared = rows.sparkSession.sparkContext.broadcast(Ranks.load(ranks_path))  # of fixed size: the rank file
     use = rows.where("rec is not null").select("rec_type", F.col("rec").cast("long").alias("rec"), "source", "language", "slice", "text")
-    out = use.mapInArrow(_count_batches(shared), "rec_type string, rec long, source string, language string, slice string, n_chars long, n_tokens long")
+    out = spread(use).mapInArrow(_count_batches(shared), "rec_type string, rec long, source string, language string, slice string, n_chars long, n_tokens long")
     return out.dropDuplicates(["rec_type", "rec"])
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import U, as_signed, mix
+from polyphony.llm.common import U, as_signed, mix, spread
 from polyphony.session import materialise
 
 ORDERS = 8
@@ -335,7 +335,7 @@ def judged(records: DataFrame, rec: str = "gen_id", text: str = "response_text",
     NULL and blank texts are not cut (they are empty); repeated deliveries count once; a NULL source has no
     length evidence; columns other than the four named are not read; empty input gives no rows."""
     use = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(reason).alias("why"))
-    ends = materialise(use.mapInArrow(_end_batches, _ENDS).dropDuplicates(["rec"]), "cut-ends")
+    ends = materialise(spread(use).mapInArrow(_end_batches, _ENDS).dropDuplicates(["rec"]), "cut-ends")
     return judge(ends, use.select("text"), cut_below)
 
 
@@ -343,7 +343,7 @@ def judge(ends: DataFrame, texts: DataFrame, cut_below: float = 0.04) -> DataFra
     """The decision over text ends (columns of _ENDS) with the statistics of all ``texts``."""
     spark = ends.sparkSession
     asked = spark.sparkContext.broadcast(np.packbits(_asked_filter(ends), bitorder="little"))
-    stats = materialise(texts.mapInArrow(_corpus_batches(asked), "ctx long, word string, seen long, closes long"), "cut-corpus")
+    stats = materialise(spread(texts).mapInArrow(_corpus_batches(asked), "ctx long, word string, seen long, closes long"), "cut-corpus")
     ctx = stats.where("ctx is not null").groupBy("ctx").agg(F.sum("seen").alias("seen"), F.sum("closes").alias("closes"))
     trie = vocabulary_prefixes(stats.where("word is not null").select("word", "seen"), ends.where("token is not null and not own"))
     open_ = ends.where("state = 'open' and ctx is not null").select("rec", F.posexplode("ctx").alias("i", "ctx")).where("ctx <> 0")
