@@ -79,14 +79,14 @@ def abuse_model():
 def test_held_out(abuse_model):
     c = bad_corpus(300, 9)
     score, _ = A.assess(abuse_model, [t for t, _ in c])
-    hit = sum((s >= 0.5) == (lab != "none") for s, (_, lab) in zip(score, c, strict=True))
+    hit = sum((s >= 0.6) == (lab != "none") for s, (_, lab) in zip(score, c, strict=True))
     assert hit >= 285
 
 
 def test_disguises(abuse_model):
     texts = ["You are a stuuuupid blorf.", "YOU ARE A STUPID BLORF!", "You are a s t u p i d blorf.", "you are a stu​pid bl0rf"]
     score, cls = A.assess(abuse_model, texts)
-    assert (score >= 0.5).all() and all(A.CLASSES[c] == "abusive" for c in cls)
+    assert (score >= 0.6).all() and all(A.CLASSES[c] == "abusive" for c in cls)
 
 
 def test_scores(spark, abuse_model):
