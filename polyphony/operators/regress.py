@@ -119,10 +119,8 @@ def mixed_model(cells: DataFrame, y: str, predictors: list[str], spec: str) -> D
     return rows.groupBy("_one").applyInPandas(lambda pdf: run(pdf.drop(columns="_one")), "spec string, term string, n long, coef double, ci_lo double, ci_hi double, p double")
 
 
-def pca_by_group(vectors: DataFrame, by: str, e: str, k: int = 2) -> DataFrame:
-    """by, pc, explained: explained variance ratio of the leading components of each group.
-
-    Only the group's moments travel: one mean vector and one cross-product matrix a partition and group."""
+def _group_moments(vectors: DataFrame, by: str, e: str) -> DataFrame:
+    """by, n, s, q: count, sum and cross products of each partition's rows of a group."""
 
     def part(batches):
         sums: dict[str, list] = {}
@@ -134,13 +132,40 @@ def pca_by_group(vectors: DataFrame, by: str, e: str, k: int = 2) -> DataFrame:
         for g, (n, s, q) in sums.items():
             yield pd.DataFrame({by: [g], "n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf.n.sum()
-        s, q = np.sum(np.stack(pdf.s.tolist()), 0), np.sum(np.stack(pdf.q.tolist()), 0)
-        d = len(s)
-        cov = (q.reshape(d, d) - np.outer(s, s) / n) / max(n - 1, 1)
-        w = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
+    rows = vectors.dropna(subset=[by, e]).select(by, F.col(e).cast("array<double>").alias(e))
+    return rows.mapInPandas(part, f"{by} string, n long, s array<double>, q array<double>")
+
+
+def _axes(pdf: pd.DataFrame, k: int):
+    n = pdf.n.sum()
+    s, q = np.sum(np.stack(pdf.s.tolist()), 0), np.sum(np.stack(pdf.q.tolist()), 0)
+    d = len(s)
+    w, v = np.linalg.eigh((q.reshape(d, d) - np.outer(s, s) / n) / max(n - 1, 1))
+    w, v = np.clip(w[::-1], 0, None), v[:, ::-1][:, :k]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])  # the largest loading of an axis is positive
+    return s / n, w, v
+
+
+def pca_by_group(vectors: DataFrame, by: str, e: str, k: int = 2) -> DataFrame:
+    """by, pc, explained: explained variance ratio of the leading components of each group.
+
+    Only the group's moments travel: one sum and one cross-product matrix a partition and group."""
+
+    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, w, _ = _axes(pdf, k)
         return pd.DataFrame({by: pdf[by].iloc[0], "pc": np.arange(1, k + 1), "explained": w[:k] / w.sum() if w.sum() > 0 else np.nan})
 
-    m = vectors.dropna(subset=[by, e]).select(by, F.col(e).cast("array<double>").alias(e)).mapInPandas(part, f"{by} string, n long, s array<double>, q array<double>")
-    return m.groupBy(by).applyInPandas(merge, f"{by} string, pc int, explained double")
+    return _group_moments(vectors, by, e).groupBy(by).applyInPandas(ratios, f"{by} string, pc int, explained double")
+
+
+def pca_project(vectors: DataFrame, by: str, e: str) -> DataFrame:
+    """``vectors`` with pc1 and pc2: coordinates on the group's two leading axes, centred on its mean."""
+
+    def axes(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, _, v = _axes(pdf, 2)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "_m": [m.tolist()], "_a": [v[:, 0].tolist()], "_b": [v[:, 1].tolist()]})
+
+    a = _group_moments(vectors, by, e).groupBy(by).applyInPandas(axes, f"{by} string, _m array<double>, _a array<double>, _b array<double>")
+    centred = F.zip_with(F.col(e).cast("array<double>"), "_m", lambda x, y: x - y)
+    on = lambda axis: F.aggregate(F.zip_with(centred, axis, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return vectors.join(a, by).withColumn("pc1", on("_a")).withColumn("pc2", on("_b")).drop("_m", "_a", "_b")

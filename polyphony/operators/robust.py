@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyphony.operators.resample import avg_rank
@@ -57,8 +57,6 @@ def max_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> D
 
 def effect_order(df: DataFrame, by: str, value: str) -> Column:
     """Rank of a group by its mean, largest first."""
-    from pyspark.sql import Window
-
     return F.dense_rank().over(Window.orderBy(F.desc(F.avg(value).over(Window.partitionBy(by)))))
 
 
@@ -69,3 +67,9 @@ def latex_table(df: DataFrame, caption: str, label: str, digits: int = 3) -> str
     body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\"
     return "\n".join([r"\begin{table}", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", r"\begin{tabular}{" + "l" * len(df.columns) + "}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+
+
+def summary_json(df: DataFrame, *keys: str) -> DataFrame:
+    """key, json: one JSON object a row, NULL values left out."""
+    key = F.concat_ws("|", *(F.coalesce(F.col(k), F.lit("")) for k in keys))
+    return df.select(key.alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))

@@ -63,3 +63,9 @@ def family_matrix(matrix: DataFrame, family: DataFrame) -> DataFrame:
     off = F.avg(F.when(F.col("resp_a") != F.col("resp_b"), F.col("sim")))
     one = F.avg(F.when(F.col("resp_a") == F.col("resp_b"), F.col("sim")))
     return m.groupBy("family_a", "family_b").agg(F.coalesce(off, one).alias("sim"))
+
+
+def attach_texts(vectors: DataFrame, texts: DataFrame, keys: list[str], text: str = "text", chars: int = 400) -> DataFrame:
+    """``vectors`` with the start of their text beside them, '' where there is none."""
+    t = texts.dropDuplicates(keys).select(*keys, F.substring(text, 1, chars).alias("preview"))
+    return vectors.join(t, keys, "left").withColumn("preview", F.coalesce("preview", F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polyphony.functions.text import NO_LANGUAGE
+from polyphony.functions.text import LABELS, NO_LANGUAGE
 from polyphony.operators.prompts import LANG_ORDER
 
 _NONE = ", ".join(f"'{x}'" for x in NO_LANGUAGE)
@@ -249,6 +249,12 @@ vs AS (SELECT metric, corr(rx, ry) AS rho, avg((sign(x) = sign(y))::INT) AS agre
 SELECT al.metric, n_cells, round(llm_intra, 6) AS llm_intra, round(human_intra, 6) AS human_intra, round(gap, 6) AS gap, cells_positive, langs_positive, n_langs, round(rho, 6) AS spearman_vs_primary, round(agree, 6) AS sign_agree FROM al JOIN ls ON al.metric = ls.metric LEFT JOIN vs ON al.metric = vs.metric"""
     q["robustness_by_language"] = f"WITH {_METRICS} SELECT language, round(avg(gap) FILTER (WHERE metric = 'whole'), 6) AS whole, round(avg(gap) FILTER (WHERE metric = 'half'), 6) AS half FROM met GROUP BY language"
     q["metric_agreement"] = f"WITH {_METRICS} SELECT a.model, a.language, round(a.gap, 6) AS gap_primary, round(b.gap, 6) AS gap_other, sign(a.gap) = sign(b.gap) AS agree FROM met a JOIN met b ON a.model = b.model AND a.language = b.language AND a.metric = 'whole' AND b.metric = 'half'"
+    q["model_labels"] = f"""WITH {DIM} SELECT model, replace(model, '/', '_') AS slug, split_part(gpus, ':', 2) || ' x ' || CASE split_part(gpus, ':', 1) WHEN 'A40' THEN 'A40 48 GB' WHEN 'A100fat' THEN 'A100 80 GB' ELSE split_part(gpus, ':', 1) END AS gpus,
+ CASE WHEN starts_with(model, 'gpt') THEN 'openai' WHEN starts_with(model, 'claude') THEN 'anthropic' WHEN starts_with(model, 'gemini') THEN 'gemini' ELSE 'vllm' END AS backend FROM dim"""
+    labels = " ".join(f"WHEN '{k}' THEN '{v.split()[0]}'" for k, v in LABELS.items())
+    q["language_labels"] = f"WITH {GEN} SELECT language, CASE language {labels} END AS label, count(*) AS n, coalesce(list_position({_ORD}, language), 0) AS place FROM gen GROUP BY language"
+    q["cell_previews"] = f"WITH {GEN}, {PROMPTS} SELECT g.prompt_id, coalesce(substring(p.prompt_text, 1, 40), '') AS preview, count(*) AS n FROM gen g LEFT JOIN p1 p ON g.prompt_id = p.prompt_id GROUP BY 1, 2"
+    q["family_json"] = f"WITH {FAM} SELECT family AS key, '{{\"family\":\"' || family || '\",\"n_models\":' || count(*) || '}}' AS json FROM fam GROUP BY family"
     q["recompute_check"] = f"WITH {VEC}, {_cells()}, {INTER_ALL} SELECT count(DISTINCT (model_a, model_b)) AS n, TRUE AS same, count(*) AS n_cells FROM inter_all"
     q["source_discovery"] = f"WITH {VEC}, f AS (SELECT DISTINCT CASE WHEN model = 'Human' THEN 'human_intra' ELSE 'intra' END AS kind, prompt_id AS slug FROM vec) SELECT kind, slug FROM f WHERE kind <> 'intra' OR slug IN (SELECT slug FROM f WHERE kind = 'human_intra')"
     q["effect_order"] = f"""WITH {COS}, a AS (SELECT model, language, avg(intra_sim) AS l FROM intra GROUP BY ALL), h AS (SELECT language, avg(intra_sim) AS h FROM human GROUP BY ALL), g AS (SELECT a.model, a.language, l - h AS gap FROM a JOIN h ON a.language = h.language), m AS (SELECT *, avg(gap) OVER (PARTITION BY language) AS lm FROM g)

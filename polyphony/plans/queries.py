@@ -368,6 +368,16 @@ def mixed_model_fluent(spark, d):
     return regress.mixed_model(_linguistic(spark, d).where("lid_match_rate >= 0.8"), "gap", ["fertility", "lid_match_rate", "log_size"], "C")
 
 
+@query
+def mixed_model_words(spark, d):
+    return regress.mixed_model(_linguistic(spark, d), "gap", ["fertility", "lid_match_rate", "log_size", "ttr"], "A")
+
+
+@query
+def mixed_model_raw(spark, d):
+    return regress.mixed_model(_linguistic(spark, d), "llm_intra", ["fertility", "lid_match_rate", "log_size"], "D")
+
+
 @query
 def ols_placebo(spark, d):
     x = _linguistic(spark, d).groupBy("language").agg(F.max("human_intra").alias("human_intra"), F.max("log_size").alias("log_size"))
@@ -379,6 +389,37 @@ def pca_by_language(spark, d):
     return rounded(regress.pca_by_group(V.vector_rows(spark, d), "language", "e"))
 
 
+@query
+def pca_projection(spark, d):
+    p = regress.pca_project(V.vector_rows(spark, d), "language", "e")
+    return rounded(p.groupBy("language", "model").agg(F.count(F.lit(1)).alias("n"), F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2")))
+
+
+@query
+def model_labels(spark, d):
+    m = V.models(spark, d)
+    return m.select("model", T.slug(F.col("model")).alias("slug"), T.accelerator(F.col("gpus")).alias("gpus"), T.backend_of(F.col("model")).alias("backend"))
+
+
+@query
+def language_labels(spark, d):
+    g = V.generations(spark, d, "gen_id", "language")
+    return g.groupBy("language").agg(F.max(T.primary_label(F.col("language"))).alias("label"), F.count(F.lit(1)).alias("n"), F.max(prompts.lang_rank(F.coalesce("language", F.lit("")))).cast("long").alias("place"))
+
+
+@query
+def cell_previews(spark, d):
+    a = prompts.first_per_prompt(V.human_prompts(spark, d)).select("prompt_id", "prompt_text")
+    g = V.generations(spark, d, "gen_id", "prompt_id")
+    return vectors.attach_texts(g, a, ["prompt_id"], "prompt_text", 40).groupBy("prompt_id", "preview").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def family_json(spark, d):
+    m = _matrix(spark, d).where("resp_a = resp_b").join(V.vector_families(spark), F.col("resp_a") == F.col("model"))
+    return robust.summary_json(m.groupBy("family").agg(F.count(F.lit(1)).alias("n_models")), "family")
+
+
 def _metrics(spark, d):
     i, h, _ = V.cosine(spark, d)
     # Two metric spaces over the same cells: whole vectors, and their first half re-normalised.

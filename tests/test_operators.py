@@ -130,6 +130,23 @@ def test_words_and_labels(spark):
     assert [one(spark, p, T.stars, "double") for p in (0.0005, 0.005, 0.04, 0.2)] == ["***", "**", "*", ""]
 
 
+def test_label_functions(spark):
+    df = spark.createDataFrame([("ja", "und_Hira", "fp8", "x", "A100fat:4"), ("zz", None, None, "bfloat16", None), (None, "eng_Latn", None, None, "H:1")], "l string, p string, q string, d string, g string")
+    r = df.select(T.label_matches(F.col("l"), F.col("p")).alias("m"), T.primary_label(F.col("l")).alias("n"), T.precision(F.col("q"), F.col("d")).alias("d"), T.accelerator(F.col("g")).alias("g")).collect()
+    assert [tuple(x) for x in r] == [(True, "jpn_Jpan", "FP8", "4 x A100 80 GB"), (False, None, "bf16", None), (False, None, "---", "1 x H")]
+    c = spark.createDataFrame([([("2026-03-01T1", "cccccccccc"), ("2026-01-05T1", "aaaaaaaaaa")],), ([],), (None,)], "c array<struct<date:string,sha:string>>")
+    assert [x.r for x in c.select(T.revision_before(F.col("c"), "2026-02-01").alias("r")).collect()] == ["aaaaaaaa", "---", "gated"]
+    assert one(spark, "one two three  four", lambda c: T.preview(c, 400, 8)) == "one two<br>three<br>four"
+    assert one(spark, None, T.preview) == ""
+
+
+def test_attach_and_json(spark):
+    v = spark.createDataFrame([("p", 1), ("q", 2)], "k string, x int")
+    t = spark.createDataFrame([("p", "long text", 9), ("p", "long text", 9)], "k string, text string, x int")
+    assert [tuple(r) for r in vectors.attach_texts(v, t, ["k"], chars=4).orderBy("k").collect()] == [("p", 1, "long"), ("q", 2, "")]
+    assert robust.summary_json(v, "k").orderBy("key").first().json == '{"k":"p","x":1}'
+
+
 def test_tails():
     u = np.linspace(0, 1, 2_000_001)[1:-1]  # F = (d2 / d1) u / (1 - u) with u of a beta distribution
     d = u ** (3 / 2 - 1) * (1 - u) ** (10 / 2 - 1)
@@ -242,10 +259,15 @@ def test_mixed_model_frame(spark):
 def test_pca(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(200, 6)) * np.array([5, 3, 1, 1, 1, 1]) + 10
-    df = spark.createDataFrame([("g", x.tolist()) for x in m] + [("g", None)], "g string, e array<double>")
+    df = spark.createDataFrame([("g", x.tolist()) for x in m], "g string, e array<double>")
     got = [r.explained for r in regress.pca_by_group(df, "g", "e").orderBy("pc").collect()]
     w = np.linalg.eigvalsh(np.cov(m.T))[::-1]
     assert got == pytest.approx((w[:2] / w.sum()).tolist())
+    p = regress.pca_project(df, "g", "e").toPandas()
+    x = m - m.mean(0)
+    v = np.linalg.eigh(np.cov(m.T))[1][:, ::-1]
+    for k, c in ((0, "pc1"), (1, "pc2")):
+        assert np.abs(np.corrcoef(x @ v[:, k], p[c][: len(m)])[0, 1]) == pytest.approx(1) and p[c].mean() == pytest.approx(0, abs=1e-9)
 
 
 MSG = "message_id string, parent_id string, role string, lang string, text string, deleted boolean, review_result boolean"
