@@ -51,8 +51,7 @@ def cluster_bootstrap(paired: DataFrame, b: int = 200, seed: int = 0) -> DataFra
     w = Window.partitionBy("language")
     x = x.withColumn("i", F.row_number().over(w.orderBy("prompt_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     langs = x.select("language", "n").distinct().withColumn("l", F.row_number().over(Window.orderBy("language")) - 1)  # a handful
-    k = langs.agg(F.count(F.lit(1)).alias("k"))
-    draws = langs.select(F.col("l").alias("slot")).join(F.broadcast(k)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    draws = langs.select(F.col("l").alias("slot"), F.count(F.lit(1)).over(Window.partitionBy()).alias("k")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     draws = draws.withColumn("l", F.pmod(draw(seed, "l", F.col("b"), F.col("slot")), F.col("k")).cast("int"))
     each = draws.join(langs, "l").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     each = each.withColumn("i", F.pmod(draw(seed, "p", F.col("b"), F.col("slot"), F.col("j")), F.col("n")).cast("int"))

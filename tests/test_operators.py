@@ -317,3 +317,11 @@ def test_family_matrix_single_member(spark):
     f = spark.createDataFrame([("a", "F"), ("b", "F"), ("c", "G")], "model string, family string")
     got = {(r.family_a, r.family_b): r.sim for r in vectors.family_matrix(m, f).collect()}
     assert got["F", "F"] == 0.5 and got["G", "G"] == 0.8 and got["F", "G"] == pytest.approx(0.2)
+
+
+def test_max_difference(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", None)], "k string, v double")
+    b = spark.createDataFrame([("x", 1.5), ("y", 2.0), ("q", 9.0)], "k string, v double")
+    r = robust.max_difference(a, b, ["k"], "v").first()
+    assert (r.n, r.max_diff) == (2, 0.5)
+    assert robust.max_difference(a, b.limit(0), ["k"], "v").first().n == 0
