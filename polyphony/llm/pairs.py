@@ -57,7 +57,6 @@ FILLERS = (
 )
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()))
 _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
-_THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+|\n+|\.{3,}")
 _MARKUP = re.compile(r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]|^\s*(?:[-•·]|\d+[.)])\s+", re.M)
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -69,8 +68,8 @@ def is_empty(text: str | None) -> bool:
     """Nothing is left: NULL, no letter, digit or pictograph outside a closed reasoning block, or a stand-in word."""
     if text is None:
         return True
-    t = _THINK.sub("", text)
-    if "<think" in t.lower():
+    t = truncation.without_thought(text)
+    if "<" in t and "<think" in t.lower():
         return False
     if truncation.is_stand_in(t):
         return True
@@ -79,7 +78,7 @@ def is_empty(text: str | None) -> bool:
 
 def is_refusal(text: str) -> bool:
     """Some sentence declines and every other is an opening, an apology or an offer."""
-    t = _THINK.sub("", text).strip()
+    t = truncation.without_thought(text).strip()
     if not t or len(t) > 400:
         return False
     found, other = False, 0
@@ -107,7 +106,7 @@ def is_copy(text: str, prompt: str | None) -> bool:
         return False
     if len(text) > 8 * len(prompt) + 80 and "<think" not in text:
         return False
-    t = _THINK.sub("", text)
+    t = truncation.without_thought(text)
     words = prompt.lower().split()
     if len(words) < 4:  # not written with blanks
         words = [prompt[i : i + 3] for i in range(0, len(prompt) - 2, 3)]

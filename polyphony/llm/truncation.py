@@ -47,14 +47,19 @@ _BULLET = re.compile(r"\s*(?:[-*•·–+]|\d+[.)、]|[a-z][.)])\s+")
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 
 
+def without_thought(text: str) -> str:
+    """Without closed reasoning blocks."""
+    return _THINK.sub("", text) if "<" in text else text
+
+
 def is_stand_in(text: str) -> bool:
-    return text.strip().strip(".,;:!\"'`*_").strip().lower() in STAND_INS
+    return len(text) < 60 and text.strip().strip(".,;:!\"'`*_").strip().lower() in STAND_INS
 
 
 def structure(text: str) -> tuple[str, str]:
     """('cut' | 'whole' | 'list' | 'open', the text without trailing closers) from structure alone."""
     s = text.rstrip()
-    low = s.lower()
+    low = s.lower() if "<" in s else ""
     if not any(c.isalnum() for c in s) or is_stand_in(s):
         return "whole", s
     if "�" in s[-3:]:
@@ -63,7 +68,7 @@ def structure(text: str) -> tuple[str, str]:
         return "cut", s
     if low.endswith("</think>"):
         return "whole", s
-    body = _THINK.sub("", s)
+    body = without_thought(s)
     if body.count("```") % 2:
         return "cut", s
     if s.endswith("```"):
