@@ -52,7 +52,11 @@ def tokens(text: str | None) -> list[str]:
     if not text:
         return []
     t = text if text.isascii() else unicodedata.normalize("NFKC", text)
-    return _TOKEN.findall(_DROP.sub("", _TAG.sub(lambda m: "" if m[0][0] == "<" else " ", t)).lower())
+    if "<" in t or "&" in t:
+        t = _TAG.sub(lambda m: "" if m[0][0] == "<" else " ", t)
+    if not t.isascii() or "*" in t or "`" in t or "~" in t or "__" in t:
+        t = _DROP.sub("", t)
+    return _TOKEN.findall(t.lower())
 
 
 def _token_hashes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
