@@ -139,8 +139,8 @@ def _rule_batches(shared):
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
             use = [x for x in zip(*cols, strict=True) if x[0] is not None]
-            for o in range(0, len(use), 2000):
-                part = use[o : o + 2000]
+            for o in range(0, len(use), 6000):
+                part = use[o : o + 6000]
                 texts = [x[1] or "" for x in part]
                 new = list({x[4] for x in part if x[4]} - known.keys())
                 if new:

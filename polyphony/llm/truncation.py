@@ -247,8 +247,8 @@ def _corpus_batches(asked):
         held = 0
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
-            for at in range(0, len(texts), 2000):
-                tk = _Tokens(texts[at : at + 2000])
+            for at in range(0, len(texts), 10_000):
+                tk = _Tokens(texts[at : at + 10_000])
                 close = np.r_[tk.stop[1:], False]
                 last = np.zeros(len(tk.codes), bool)
                 last[tk.ends] = True
