@@ -50,7 +50,8 @@ def base_language(label: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class LangId:
-    """Parameters.  ``per_label``: texts and ``sentences``: sentences of each language in the training sample."""
+    """Parameters.  ``per_label``: texts and ``sentences``: sentences of each language in the training sample; ``strong``:
+    least probability of a sentence's language; ``against``: what a short sentence must leave the language of its text."""
 
     per_label: int = 1500
     sentences: int = 2500
@@ -62,6 +63,7 @@ class LangId:
     batch: int = 256
     seed: int = 7
     strong: float = 0.93
+    against: float = 1e-4
     least_letters: int = 10
 
 
@@ -69,12 +71,21 @@ _CJK = "぀-ヿ㐀-鿿"
 _TOK = re.compile(rf"[^\W\d_{_CJK}々ー]+(?:['’·][^\W\d_{_CJK}々ー]+)*|[{_CJK}々ー]{{1,4}}|[.!?…]+(?!\w)|[。！？]|\n+|[()（）“”«»「」|]")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _SEP = frozenset(".!?…。！？\n()（）“”«»「」|")
+_STOP = frozenset(".!?…。！？")
 
 
 def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
 
 
+def _script(c: str) -> int:
+    """0 Latin, 1 Cyrillic, 2 Chinese or Japanese."""
+    return 2 if _is_cjk(c) else int("Ѐ" <= c <= "ӿ")
+
+
+_SCRIPT_OF = np.array([{"ru": 1, "zh": 2, "ja": 2}.get(x, 0) for x in LANGS])
+
+
 def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, number for each word): the character n-grams of each word (1 to 4, word ends marked; 1 and 2 in
     CJK) and the word itself, hashed."""
@@ -125,6 +136,10 @@ class Sentences:
         self.wide = add(cjk[self.codes].astype(np.int64) * n_letters[self.codes])
         at = np.flatnonzero(keep)
         self.span = np.stack([at[first], at[np.r_[first[1:], len(at)] - 1]], 1) if len(first) else np.zeros((0, 2), np.int64)
+        self.stopped = np.array([w[0] in _STOP for w in self.words], bool)[codes[self.span[:, 1] + 1]] if len(first) else np.zeros(0, bool)
+        script = np.array([0 if w[0] in _SEP else _script(w[0]) for w in self.words], np.int64)[self.codes]
+        lo, hi = (np.minimum.reduceat(script, first), np.maximum.reduceat(script, first)) if len(first) else (np.zeros(0, np.int64),) * 2
+        self.script = np.where(lo == hi, lo, -1)  # -1: several
         self.ends, self.n = ends, len(texts)
         self.text_letters = np.bincount(self.text, self.letters, minlength=len(texts)).astype(np.int64)
 
@@ -133,6 +148,11 @@ class Sentences:
         """Long enough to bear a language of its own: four words and fifteen letters, or eight CJK characters."""
         return ((self.count >= 4) & (self.letters >= 15)) | (self.wide >= 8)
 
+    @property
+    def short(self) -> np.ndarray:
+        """Whole sentences under that length: two words or more, or four CJK characters, ended by a stop."""
+        return ~self.eligible & ((self.count >= 2) | (self.wide >= 4)) & self.stopped
+
 
 class Model:
     """Weights (buckets x languages), inverse document frequencies, bias and temperature."""
@@ -328,7 +348,14 @@ def assess(model: Model, texts: list[str]):
         conf[has] = p.max(1)
     p = model.prob(logits) if len(logits) else logits
     top = p.argmax(1) if len(p) else np.zeros(0, np.int64)
-    strong = ok & (p.max(1) >= model.cfg.strong) if len(p) else np.zeros(0, bool)
+    strong = np.zeros(0, bool)
+    if len(p):
+        own = out_lang[s.text]
+        sure = p.max(1) >= model.cfg.strong
+        # A short sentence bears its text's language like any other, and another one where its script is another or
+        # where next to nothing is left for the text's.
+        foreign = (s.script >= 0) & (s.script != _SCRIPT_OF[own]) & (s.script == _SCRIPT_OF[top])
+        strong = (s.eligible & sure) | (s.short & (foreign | (sure & ((top == own) | (p[np.arange(len(p)), own] < model.cfg.against)))))
     other = strong & (top != out_lang[s.text])
     stretches: dict[int, list] = {}
     mixed = np.unique(s.text[other])

@@ -46,6 +46,22 @@ def test_mixed_stretches(model):
     assert all(a <= b for _, _, a, b in st[0])
 
 
+def test_short_sentences_bear_a_language(model):
+    rng = random.Random(6)
+    en, ru, ja = (" ".join(sentence(x, rng) for _ in range(2)) for x in ("en", "ru", "ja"))
+    texts = [f"{en}\n\nДети играют сегодня.", f"{ru} Children play.", f"{ja} (Она написала.)", f"{en} Kinder spielen im Garten.", f"{en} Она.", f"{en} Fibaris Wenmilno.", "He likes it. Дети играют сегодня утром здесь."]
+    _, _, _, st = L.assess(model, texts)
+    got = [{x[0] for x in st.get(i, [])} for i in range(len(texts))]
+    assert got == [{"en", "ru"}, {"ru", "en"}, {"ja", "ru"}, {"en", "de"}, set(), set(), {"en", "ru"}]
+
+
+def test_short_sentence_is_mixed(spark, model):
+    rng = random.Random(8)
+    r = spark.createDataFrame([(1, "", sentence("en", rng) + " Дети играют сегодня.")], "gen_id long, language string, response_text string")
+    got = L.identify(L.subjects(r, spark.createDataFrame([], "prompt_id string, language string, prompt_text string")), model).first()
+    assert {x.lang for x in got.stretches} == {"en", "ru"}
+
+
 @pytest.mark.parametrize("label,want", [("EN", "en"), ("en_GB", "en"), ("pt", "pt-BR"), ("pt_BR", "pt-BR"), ("zh-Hans", "zh"), ("und", None), ("", None), (None, None), (" ", None), ("German", "de"), ("nl", "nl")])
 def test_labels(label, want):
     assert L.base_language(label) == want
