@@ -3,6 +3,10 @@ so results depend neither on partitioning nor on the order of groups."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +15,6 @@ from polyphony.functions.tails import t_sf2, wilcoxon_sf2
 GROUP = ["level", "grp", "lang"]
 
 
-def draw(*parts: Column | str | int) -> Column:
-    """32 random bits from the md5 of the parts, as a BIGINT."""
-    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
-
-
 def _numbered(paired: DataFrame) -> DataFrame:
     """Complete gaps with their position i and number n in each group; ``g`` is the group's text key."""
     x = paired.where("gap is not null").withColumn("g", F.concat_ws("|", "level", "grp", F.coalesce("lang", F.lit(""))))
@@ -24,38 +22,97 @@ def _numbered(paired: DataFrame) -> DataFrame:
     return x.withColumn("i", F.row_number().over(w.orderBy("language", "prompt_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
 
 
-def bootstrap_ci(paired: DataFrame, b: int = 200, seed: int = 0) -> DataFrame:
+BLOCK = 100_000
+
+
+def _blocks(groups: DataFrame, b: int) -> DataFrame:
+    """Each row (``g``, ``size``: draws a try takes, ...) once for every run of tries lo to hi, about BLOCK draws each."""
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(BLOCK)) / F.greatest(F.lit(1), "size"))).cast("int")
+    x = groups.withColumn("step", F.least(step, F.lit(b))).withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.col("step"))))
+    sc = groups.sparkSession.sparkContext
+    return x.withColumn("hi", F.least(F.col("lo") + F.col("step"), F.lit(b))).repartition(max(sc.defaultParallelism, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "g", "lo")
+
+
+def _bits(head: str, n: int) -> np.ndarray:
+    """32 random bits from the md5 of each of ``head|0`` to ``head|n-1``."""
+    h = hashlib.md5(f"{head}|".encode(), usedforsecurity=False)
+    out = []
+    for i in range(n):
+        x = h.copy()
+        x.update(b"%d" % i)
+        out.append(x.digest()[:4])
+    return np.frombuffer(b"".join(out), ">u4").astype(np.int64)
+
+
+def _by_group(paired: DataFrame) -> DataFrame:
+    """g, size and the gaps in order of the groups of two gaps or more: the whole group is one row."""
+    x = _numbered(paired).where("n >= 2").groupBy(*GROUP, "g").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list(F.struct("i", "gap"))).alias("z"))
+    return x.select(*GROUP, "g", "size", F.col("z.gap").alias("gaps"))
+
+
+def _resampled(seed: int):
+    def run(batches):
+        for batch in batches:
+            for g, gaps, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("g", "gaps", "lo", "hi")), strict=True):
+                v = np.array(gaps)
+                m = [v[_bits(f"{seed}|b|{g}|{b}", len(v)) % len(v)].mean() for b in range(lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(m), pa.string()), pa.array(m, pa.float64())], ["g", "m"])
+
+    return run
+
+
+def bootstrap_ci(paired: DataFrame, b: int = 10_000, seed: int = 0) -> DataFrame:
     """n, mean_gap and the 95 % percentile interval of the mean over b resamples; NULL under two gaps."""
-    x = _numbered(paired)
-    tries = x.where("n >= 2").select(*GROUP, "g", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    tries = tries.withColumn("pick", F.pmod(draw(seed, "b", F.col("g"), F.col("b"), F.col("i")), F.col("n")))
-    means = tries.join(x.select("g", F.col("i").cast("bigint").alias("pick"), "gap"), ["g", "pick"]).groupBy(*GROUP, "b").agg(F.avg("gap").alias("m"))
-    ci = means.groupBy(*GROUP).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    base = x.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, F.avg("gap")).alias("mean_gap"))
-    k = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in GROUP]
-    return base.alias("x").join(ci.alias("y"), k, "left").select(*(F.col(f"x.{c}") for c in GROUP), "n", "mean_gap", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"))
+    means = _blocks(_by_group(paired), b).select("g", "gaps", "lo", "hi").mapInArrow(_resampled(seed), "g string, m double")
+    ci = means.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    base = _numbered(paired).groupBy(*GROUP, "g").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, F.avg("gap")).alias("mean_gap"))
+    return base.join(ci, "g", "left").select(*GROUP, "n", "mean_gap", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"))
+
 
+def _flipped(seed: int):
+    def run(batches):
+        for batch in batches:
+            gs, hits = batch.column("g").to_pylist(), []
+            for g, gaps, lo, hi in zip(gs, *(batch.column(c).to_pylist() for c in ("gaps", "lo", "hi")), strict=True):
+                v = np.array(gaps)
+                least = abs(v.mean()) - 1e-12
+                hits.append(sum(bool(abs(np.where(_bits(f"{seed}|s|{g}|{b}", len(v)) % 2 == 0, v, -v).mean()) >= least) for b in range(lo, hi)))
+            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.string()), pa.array(hits, pa.int64())], ["g", "hits"])
 
-def signflip(paired: DataFrame, b: int = 200, seed: int = 0) -> DataFrame:
+    return run
+
+
+def signflip(paired: DataFrame, b: int = 20_000, seed: int = 0) -> DataFrame:
     """n, p_perm: share of sign-flipped means at least as far from 0, one added to both."""
-    x = _numbered(paired).where("n >= 2")
-    t = x.select(*GROUP, "g", "i", "gap", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    t = t.withColumn("v", F.when(draw(seed, "s", F.col("g"), F.col("b"), F.col("i")) % 2 == 0, F.col("gap")).otherwise(-F.col("gap")))
-    m = t.groupBy(*GROUP, "b").agg(F.abs(F.avg("v")).alias("m"), F.abs(F.avg("gap")).alias("m0"), F.count(F.lit(1)).alias("n"))
-    return m.groupBy(*GROUP).agg(F.max("n").alias("n"), ((F.sum((F.col("m") >= F.col("m0") - 1e-12).cast("int")) + 1) / F.lit(b + 1.0)).alias("p_perm"))
+    hits = _blocks(_by_group(paired), b).select("g", "gaps", "lo", "hi").mapInArrow(_flipped(seed), "g string, hits long").groupBy("g").agg(F.sum("hits").alias("hits"))
+    base = _numbered(paired).where("n >= 2").groupBy(*GROUP, "g").agg(F.count(F.lit(1)).alias("n"))
+    return base.join(hits, "g").select(*GROUP, "n", ((F.col("hits") + 1) / F.lit(b + 1.0)).alias("p_perm"))
+
+
+def _resampled_twice(seed: int):
+    def run(batches):
+        for batch in batches:
+            for langs, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("langs", "lo", "hi")), strict=True):
+                v = [np.array(x, float) for x in langs]
+                m = []
+                for b in range(lo, hi):
+                    drawn = [v[x] for x in _bits(f"{seed}|l|{b}", len(v)) % len(v)]
+                    some = np.concatenate([x[_bits(f"{seed}|p|{b}|{slot}", len(x)) % len(x)] for slot, x in enumerate(drawn) if len(x)] or [np.zeros(0)])
+                    if len(some):
+                        m.append(some.mean())
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.float64())], ["m"])
+
+    return run
 
 
-def cluster_bootstrap(paired: DataFrame, b: int = 200, seed: int = 0) -> DataFrame:
+def cluster_bootstrap(paired: DataFrame, b: int = 10_000, seed: int = 0) -> DataFrame:
     """ci_lo, ci_hi over languages drawn with replacement, then prompts within each drawn language, means of the concatenation."""
     x = paired.where("level = 'general' and gap is not null").select("language", "prompt_id", "gap")
-    w = Window.partitionBy("language")
-    x = x.withColumn("i", F.row_number().over(w.orderBy("prompt_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    langs = x.select("language", "n").distinct().withColumn("l", F.row_number().over(Window.orderBy("language")) - 1)  # a handful
-    draws = langs.select(F.col("l").alias("slot"), F.count(F.lit(1)).over(Window.partitionBy()).alias("k")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    draws = draws.withColumn("l", F.pmod(draw(seed, "l", F.col("b"), F.col("slot")), F.col("k")).cast("int"))
-    each = draws.join(langs, "l").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    each = each.withColumn("i", F.pmod(draw(seed, "p", F.col("b"), F.col("slot"), F.col("j")), F.col("n")).cast("int"))
-    m = each.join(x.select("language", "i", "gap"), ["language", "i"]).groupBy("b").agg(F.avg("gap").alias("m"))
+    x = x.withColumn("i", F.row_number().over(Window.partitionBy("language").orderBy("prompt_id")))
+    langs = x.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("i", "gap"))).alias("z")).withColumn("l", F.row_number().over(Window.orderBy("language")))  # a handful
+    gaps = F.when(F.col("language").isNotNull(), F.col("z.gap")).otherwise(F.array().cast("array<double>"))  # a language without a name can be drawn, but has no prompts
+    one = langs.select("l", gaps.alias("gaps"), F.size("z").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l", "gaps"))).alias("z"), F.sum("k").alias("size")).where("size > 0")
+    m = _blocks(one.select(F.lit("").alias("g"), "size", F.col("z.gaps").alias("langs")), b).select("langs", "lo", "hi").mapInArrow(_resampled_twice(seed), "m double")
     return m.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("cluster_ci_lo"), F.col("q")[1].alias("cluster_ci_hi"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -184,6 +185,28 @@ def test_paired_tests(spark):
     assert min(v) <= c.cluster_ci_lo <= c.cluster_ci_hi <= max(v)
 
 
+def test_draws_of_the_reference(spark):
+    g = [0.1, -0.2, 0.3, 0.3, 0.25, 0.15, 0.5, 0.2]
+    p = paired(spark, g)
+    flips = [abs(np.mean([v if resampled("s", k, i) % 2 == 0 else -v for i, v in enumerate(by_place(g))])) for k in range(20_000)]
+    want = (sum(m >= abs(np.mean(g)) - 1e-12 for m in flips) + 1) / 20_001
+    assert resample.signflip(p).first().p_perm == pytest.approx(want, abs=1e-12)
+    assert resample.signflip(paired(spark, [0.1 + i / 100 for i in range(30)])).first().p_perm == pytest.approx(1 / 20_001)
+    means = [np.mean([by_place(g)[resampled("b", k, i) % len(g)] for i in range(len(g))]) for k in range(10_000)]
+    b = resample.bootstrap_ci(p).first()
+    assert (b.ci_lo, b.ci_hi) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    c = [resample.cluster_bootstrap(p, b=k).first() for k in (200, 10_000)]
+    assert resample.cluster_bootstrap(p).first() == c[1] != c[0]
+
+
+def by_place(g):
+    return [v for _, v in sorted((f"l{i % 3}p{i}", v) for i, v in enumerate(g))]
+
+
+def resampled(kind, k, i):
+    return int(hashlib.md5(f"0|{kind}|general|all||{k}|{i}".encode()).hexdigest()[:8], 16)
+
+
 def test_paired_tests_degenerate(spark):
     assert resample.paired_t(paired(spark, [0.0] * 4), p=True).first().p_t == 1
     assert resample.signflip(paired(spark, [0.0] * 4), b=50).first().p_perm == 1
