@@ -106,3 +106,31 @@ def test_training_from_tables(spark):
     got = {r.doc_id for r in A.flagged(d, lab).collect()}
     want = {i for i, (_, x) in enumerate(c) if x != "none"}
     assert len(got ^ want) <= 0.08 * len(c)
+
+
+def test_threshold_follows_the_share_of_the_corpus():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    # Clean documents score up to 0.7 in one of fifty cases; bad ones from 0.6 on.
+    clean = lambda n: np.where(rng.random(n) < 0.02, rng.uniform(0.3, 0.7, n), rng.uniform(0, 0.1, n))
+    bad = rng.uniform(0.6, 1.0, 1000)
+    label = np.r_[np.ones(1000), np.zeros(5000), -np.ones(20_000)].astype(int)
+    rich = np.r_[bad, clean(5000), rng.choice(bad, 10_000), clean(10_000)]
+    poor = np.r_[bad, clean(5000), rng.choice(bad, 400), clean(19_600)]
+    w = np.ones(len(label))
+    lo, hi = A.best_threshold(rich, label, w, 0.5), A.best_threshold(poor, label, w, 0.5)
+    assert 0.1 < lo < hi and 0.6 < hi < 0.75
+    assert A.best_threshold(poor[:0], label[:0], w[:0], 0.5) == 0.5
+    assert A.best_threshold(poor[1000:], label[1000:], w[1000:], 0.4) == 0.4
+
+
+def test_slips_of_raters_do_not_teach():
+    c = bad_corpus(900, 5)
+    rng = random.Random(6)
+    labels = ["abusive" if lab == "none" and rng.random() < 0.1 else lab for _, lab in c]  # one clean document in ten is called bad
+    m = A.fit([t for t, _ in c], labels)
+    held = bad_corpus(300, 8)
+    score, _ = A.assess(m, [t for t, _ in held])
+    hit = sum((s >= m.threshold) == (lab != "none") for s, (_, lab) in zip(score, held, strict=True))
+    assert hit >= 288
