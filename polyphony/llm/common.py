@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 _M1, _M2, _G = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -49,3 +52,34 @@ def spread(df: DataFrame) -> DataFrame:
 
 def as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+@dataclass(frozen=True)
+class Bits:
+    """A bit map over the top bits of 64-bit hashes: what it lets through may be in the set, what it stops is not."""
+
+    words: np.ndarray
+
+    @staticmethod
+    def of(rows: DataFrame, column: str, log2: tuple[int, int]) -> "Bits":
+        """Of a column of hashes: 16 bits or more a distinct value, between 2 ** log2[0] and 2 ** log2[1] bits in all."""
+        n = rows.agg(F.approx_count_distinct(column)).first()[0]
+        bits = min(max(int(16 * n).bit_length(), log2[0]), log2[1])
+        slot = f"shiftrightunsigned({column}, {64 - bits})"
+        words = rows.where(f"{column} is not null").select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("b"))
+        got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (bits - 6) rows
+        out = np.zeros(1 << (bits - 6), np.int64)
+        out[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.int64)
+        return Bits(out.view(U))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """For hashes as unsigned 64-bit numbers."""
+        slot = h >> U(64 - len(self.words).bit_length() - 5)
+        return (self.words[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) != 0
+
+
+def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
+    """Partitions for a table that was written: by its bytes, and at least the session's shuffle partitions and cores."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // each))

@@ -299,21 +299,39 @@ def fit(texts: list[str], labels: list[str], cfg: LangId = LangId()) -> Model:
     return model
 
 
+def _base_batches(batches):
+    """label, n -> base, n: the language of LANGS that a label names, if any."""
+    for batch in batches:
+        base = [b if (b := base_language(x)) in LANGS else None for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(base, pa.string()), batch.column(1)], ["base", "n"])
+
+
+def _sample_batches(share: dict[str, float]):
+    """label, u, text -> text, base: the rows whose draw ``u`` lies under the share of their language."""
+
+    def run(batches):
+        known: dict[str, float] = {}
+        for batch in batches:
+            label, u = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for x in set(label) - known.keys():
+                known[x] = base_language(x)
+            base = [known[x] for x in label]
+            ok = pa.array([v < share.get(b, 0.0) for b, v in zip(base, u, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(ok), pa.array(base, pa.string()).filter(ok)], ["text", "base"])
+
+    return run
+
+
 def _labelled(records: DataFrame, cfg: LangId) -> tuple[list[str], list[str]]:
     """The bounded training sample: about ``per_label`` texts of each language, by a hash of the key."""
-    seen = records.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    known = [(r.label, base_language(r.label), r.n) for r in seen.limit(10_000).collect()]
-    per: dict[str, int] = {}
-    for _, b, n in known:
-        if b in LANGS:
-            per[b] = per.get(b, 0) + n
-    share = {lab: min(1.0, cfg.per_label / per[b]) for lab, b, _ in known if b in LANGS and lab is not None}
-    if not share:
+    seen = records.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    per = {r.base: r.n for r in seen.mapInArrow(_base_batches, "base string, n long").where("base is not null").groupBy("base").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    if not per:
         return [], []
-    spark = records.sparkSession
-    at = spark.createDataFrame([(k, base_language(k), v) for k, v in share.items()], "label string, base string, share double")
-    pick = records.join(F.broadcast(at), "label").where("pmod(xxhash64(rec_id, 5), 1000003) / 1000003.0 < share and text is not null")
-    got = pick.select("text", "base").toPandas()
+    share = {b: min(1.0, cfg.per_label / n) for b, n in per.items()}
+    u = F.expr("pmod(xxhash64(rec_id, 5), 1000003) / 1000003.0D")
+    few = records.where("label is not null and text is not null").select("label", u.alias("u"), "text").where(F.col("u") < max(share.values()))
+    got = few.mapInArrow(_sample_batches(share), "text string, base string").toPandas()
     got = got.sort_values("text").groupby("base").head(2 * cfg.per_label)
     return got.text.tolist(), got.base.tolist()
 

@@ -1,9 +1,10 @@
 """Defects of prompt-response pairs: empty, truncated, refusal, copy, other_language.
 
-Responses are sorted by text, all together: a response whose next neighbour begins with it and goes on with
-a word is a shortened version of that neighbour.  Only texts that begin as some unfinished text begins take part, each once; the sort is by
-range, so no prefix makes one task hold more than its share; the ends of the ranges are compared in a second, tiny step.  Length-limit spikes and the statistics of
-text ends come from the truncation operator.  Copy, refusal and language rules read the response together with
+Responses are sorted by text, all together: whatever begins with a text follows it, so a walk that keeps the open
+prefixes of the present text meets every continuation, and a text that another one continues with a word is a
+shortened version of it.  Only texts that begin as some unfinished text begins take part, each once; the sort is by
+range, so no prefix makes one task hold more than its share; prefixes still open at the end of a range are held against
+the rest in a second, tiny step.  Length-limit spikes and the statistics of text ends come from the truncation operator.  Copy, refusal and language rules read the response together with
 its prompt in one map.
 """
 
@@ -16,11 +17,11 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyphony.llm import langid, truncation
-from polyphony.llm.common import spread
+from polyphony.llm.common import Bits, U, partitions_for, spread
 from polyphony.session import materialise
 
 # What a refusal says, as patterns over a lower-case sentence without markup, by language.
@@ -60,6 +61,7 @@ _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+|\n+|\.{3,}")
 _MARKUP = re.compile(r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]|^\s*(?:[-•·]|\d+[.)])\s+", re.M)
 _NOT_WORD = re.compile(r"[\W_]+")
+_EDGES = re.compile(r"^[\s\W]+|[\s\W]+$")
 _GOES_ON = re.compile(r"[ ,]{0,2}\w")
 _LABEL = re.compile(r"^\s*(?:q|question|prompt|user|human|frage|pregunta|domanda|вопрос|pytanie)\s*[:：]\s*", re.I)
 
@@ -76,14 +78,18 @@ def is_empty(text: str | None) -> bool:
     return not any(unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "So" for c in t)
 
 
+def _sentences(text: str):
+    """Sentences in lower case without markup, line by line, so that a reader may stop early."""
+    for line in text.splitlines():
+        yield from filter(None, _SENTENCE.split(_MARKUP.sub("", line.replace("’", "'")).lower()))
+
+
 def is_refusal(text: str) -> bool:
     """Some sentence declines and every other is an opening, an apology or an offer."""
     t = truncation.without_thought(text).strip()
-    if not t or len(t) > 400:
-        return False
     found, other = False, 0
-    for s in _SENTENCE.split(_MARKUP.sub("", t.replace("’", "'")).lower()):
-        s = re.sub(r"^[\s\W]+|[\s\W]+$", "", s or "")
+    for s in _sentences(t):
+        s = _EDGES.sub("", s)
         if not s:
             continue
         flat = s.replace(",", "").replace("，", "").replace("、", "")
@@ -100,21 +106,35 @@ def _plain(text: str) -> str:
     return _NOT_WORD.sub("", unicodedata.normalize("NFKC", _LABEL.sub("", text)).lower())
 
 
+def _plain_head(text: str, least: int) -> str:
+    """The plain form of the beginning of ``text``, of ``least`` characters or more if there are as many."""
+    size = 2 * least + 64
+    while True:
+        t = _plain(_MARKUP.sub("", text[:size]))
+        if len(t) >= least or size >= len(text):
+            return t
+        size *= 2
+
+
+def _nearly(p: str, t: str) -> bool:
+    m = SequenceMatcher(None, p, t, autojunk=False)
+    return m.quick_ratio() >= 0.84 and m.ratio() >= 0.84
+
+
 def is_copy(text: str, prompt: str | None) -> bool:
     """Nothing but the prompt, once or repeated, perhaps slightly changed or marked up."""
     if not prompt:
         return False
-    if len(text) > 8 * len(prompt) + 80 and "<think" not in text:
+    p = _plain(prompt)
+    if len(p) < 5:
         return False
     t = truncation.without_thought(text)
-    words = prompt.lower().split()
+    # Whatever its length, a copy has most words of the prompt in its beginning; few other texts do.
+    head = _plain_head(t, len(p) + len(p) // 2 + 8)
+    words = [w for x in prompt.split() if (w := _plain(x))]
     if len(words) < 4:  # not written with blanks
-        words = [prompt[i : i + 3] for i in range(0, len(prompt) - 2, 3)]
-    low = t.lower()
-    if sum(w in low for w in words) < 0.4 * len(words):  # a cheap look before the exact one
-        return False
-    p = _plain(prompt)
-    if len(p) < 5 or len(t) > 8 * len(prompt) + 80:
+        words = [p[i : i + 3] for i in range(0, len(p) - 2, 3)]
+    if sum(w in head for w in words) < 0.4 * len(words):
         return False
     t = _plain(_MARKUP.sub("", t))
     if not t:
@@ -122,11 +142,13 @@ def is_copy(text: str, prompt: str | None) -> bool:
     n = t.count(p)
     if n:
         return len(t) - n * len(p) <= 0.2 * len(p)
-    for k in (1, 2, 3):
-        if 0.6 * k * len(p) <= len(t) <= 1.4 * k * len(p):
-            m = SequenceMatcher(None, p * k, t, autojunk=False)
-            return m.quick_ratio() >= 0.84 and m.ratio() >= 0.84
-    return False
+    k = max(1, round(len(t) / len(p)))
+    if not 0.6 * k * len(p) <= len(t) <= 1.4 * k * len(p):
+        return False
+    if k <= 3:
+        return _nearly(p * k, t)
+    cut = [len(t) * i // k for i in range(k + 1)]
+    return all(_nearly(p, t[x:y]) for x, y in zip(cut, cut[1:], strict=False))
 
 
 _RULES = "empty boolean, refusal boolean, copy boolean, other boolean, head long, digest long"
@@ -161,7 +183,7 @@ def _rule_batches(shared):
                 feats = truncation.end_features(texts)
                 ends = truncation.end_columns([x[:4] for x in part], feats)
                 bare = [t.rstrip(_TAIL) if f[0] == "open" else "" for t, f in zip(texts, feats, strict=True)]
-                keys = [pa.array([_signed(_digest(t[: HEAD if head else None])) if len(t) >= HEAD else None for t in bare], pa.int64()) for head in (True, False)]
+                keys = [pa.array([_signed(_digest(t[: _head(t)] if head else t)) if _head(t) else None for t in bare], pa.int64()) for head in (True, False)]
                 flags = [pa.array(np.array(v, bool)) for v in (empty, refusal, copy, other)]
                 yield pa.RecordBatch.from_arrays([*ends, *flags, *keys], [*(f.name for f in truncation._ENDS_ARROW), "empty", "refusal", "copy", "other", "head", "digest"])
 
@@ -169,8 +191,14 @@ def _rule_batches(shared):
 
 
 _TAIL = " \t\n\r.…"
-HEAD = 16
-FILTER_BITS = 24
+#: Characters that two texts must share at the beginning to be compared: the most that the shorter one has. Under the least, a text begins like others by chance.
+HEADS = (16, 4)
+#: log2 of the least and greatest number of bits of the filter of asked heads.
+FILTER_BITS = (16, 28)
+
+
+def _head(t: str) -> int:
+    return next((n for n in HEADS if len(t) >= n), 0)
 
 
 def _digest(t: str) -> int:
@@ -185,51 +213,61 @@ def _with_known_head(shared):
     """Texts, without trailing blanks and dots, that begin as some open text begins."""
 
     def run(batches):
-        bits = np.unpackbits(shared.value, bitorder="little")
         for batch in batches:
-            texts = [t.rstrip(_TAIL) for t in batch.column(0).to_pylist() if t and len(t) >= HEAD]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in texts if len(t) >= HEAD and bits[_digest(t[:HEAD]) >> (64 - FILTER_BITS)]], pa.string())], ["text"])
+            texts = [x for t in batch.column(0).to_pylist() if t and len(x := t.rstrip(_TAIL)) >= HEADS[-1]]
+            ok = np.zeros(len(texts), bool)
+            for n in HEADS:
+                at = [i for i, t in enumerate(texts) if len(t) >= n]
+                ok[at] |= shared.value.has(np.array([_digest(texts[i][:n]) for i in at], U))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, k in zip(texts, ok, strict=True) if k], pa.string())], ["text"])
 
     return run
 
 
 def _neighbours(batches):
-    """Within a sorted range: digests of the texts that the next text continues; and the first and last text of the range."""
-    found: list[int] = []
-    first = held = None
+    """Within a sorted range: digests of the texts that a later one continues; the texts that are still open prefixes at the end; and the first text."""
+    path: list[str] = []  # prefixes of the present text that nothing has continued with a word yet
+    first = True
     for batch in batches:
+        found, kinds, texts = [], [], []
         for text in batch.column(0).to_pylist():
-            if first is None:
-                first = text
-            if held is not None and len(held) < len(text) and text.startswith(held) and _GOES_ON.match(text, len(held)):
-                found.append(_signed(_digest(held)))
-            held = text
-    n = len(found)
-    kinds, texts = ["short"] * n, [None] * n
-    if first is not None:
-        found, kinds, texts = [*found, 0, _signed(_digest(held))], [*kinds, "first", "last"], [*texts, first, held]
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["digest", "kind", "text"])
+            if first:
+                found, kinds, texts, first = [0], ["first"], [text], False
+            while path and not text.startswith(path[-1]):
+                path.pop()
+            keep = []
+            for p in path:
+                if len(p) < len(text) and _GOES_ON.match(text, len(p)):
+                    found.append(_signed(_digest(p)))
+                    kinds.append("short")
+                    texts.append(None)
+                else:
+                    keep.append(p)
+            path = [*keep, text]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["digest", "kind", "text"])
+    n = len(path)
+    yield pa.RecordBatch.from_arrays([pa.array([_signed(_digest(p)) for p in path], pa.int64()), pa.array(["open"] * n, pa.string()), pa.array(path, pa.string())], ["digest", "kind", "text"])
 
 
 def shortened(texts: DataFrame, heads: DataFrame) -> DataFrame:
     """digest of the texts that another text continues, among the texts whose first letters are in ``heads``.
 
-    heads: head, the digest of the first HEAD letters of a text asked for; it becomes a bit map of fixed size."""
-    spark = texts.sparkSession
-    slot = f"shiftrightunsigned(head, {64 - FILTER_BITS})"
-    words = heads.where("head is not null").select(F.expr(f"cast({slot} / 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[got.w.to_numpy()] = got.b.to_numpy()
-    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
-    k = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    heads: head, the digest of the first letters of a text asked for; it becomes a bit map sized by their number."""
+    shared = texts.sparkSession.sparkContext.broadcast(Bits.of(heads.where("head is not null"), "head", FILTER_BITS))
     some = materialise(texts.mapInArrow(_with_known_head(shared), "text string").distinct(), "pair-texts")
-    ranges = some.repartitionByRange(k, "text").sortWithinPartitions("text").mapInArrow(_neighbours, "digest long, kind string, text string")
+    ranges = some.repartitionByRange(partitions_for(some), "text").sortWithinPartitions("text").mapInArrow(_neighbours, "digest long, kind string, text string")
     got = materialise(ranges, "pair-neighbours")
-    ends = got.where("kind <> 'short'")  # two rows a range
-    w = Window.orderBy("text", F.when(F.col("kind") == "first", 0).otherwise(1))
-    edge = ends.withColumn("after", F.lead("text").over(w)).where(r"kind = 'last' and after <> text and startswith(after, text) and substring(after, length(text) + 1) rlike '^[ ,]{0,2}[\\p{L}\\p{N}]'")
-    return got.where("kind = 'short'").select("digest").union(edge.select("digest")).distinct()
+    # A prefix that reaches into a later range is one of that range's first text too.
+    at = lambda df, name: df.select(F.col("text").alias(name), F.substring("text", 1, HEADS[-1]).alias("h"))
+    over = at(got.where("kind = 'open'"), "prefix").join(at(got.where("kind = 'first'"), "next"), "h").where("startswith(next, prefix) and next <> prefix").select("h", "prefix").distinct()
+    over = materialise(over, "pair-over")
+    edge = over.join(at(some, "text"), "h").where(r"startswith(text, prefix) and substring(text, length(prefix) + 1) rlike '^[ ,]{0,2}[\\p{L}\\p{N}_]'").select("prefix").distinct()
+    return got.where("kind = 'short'").select("digest").union(edge.mapInArrow(_digests, "digest long")).distinct()
+
+
+def _digests(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_signed(_digest(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["digest"])
 
 
 def defects(responses: DataFrame, prompts: DataFrame, cfg: langid.LangId = langid.LangId(per_label=900, sentences=1500)) -> DataFrame:

@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import U, as_signed, mix, spread
+from polyphony.llm.common import Bits, U, as_signed, mix, spread
 from polyphony.session import materialise
 
 ORDERS = 8
-#: log2 of the bits of the filter of asked contexts; a fuller filter costs time, never a result.
-FILTER_BITS = 24
+#: log2 of the least and greatest number of bits of the filter of asked contexts, which has 16 bits or more a context
+#: up to the greatest size (32 MB); a fuller filter costs time, never a result.
+FILTER_BITS = (16, 28)
 
 # Words for a missing value.
 STAND_INS = "null none nil nan n/a na - -- empty undefined missing unknown (empty) (none) [empty] no answer no response tbd".split(" ")
@@ -40,8 +41,8 @@ LENGTH_REASONS = ("length", "max_tokens", "max_length", "max_output_tokens", "to
 
 _TOKEN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+(?:['’·][^\W\d_぀-ヿ㐀-鿿가-힯]+)*|[぀-ヿ㐀-鿿가-힯]|\d+|[.!?。！？…]+|\n")
 _STOP = ".!?。！？…"
-_MARK_WORD = re.compile(r"[\[<({（【][\s|_*.…-]*(?:truncated|trunc|cut|cut off|snip|snipped|continued|cont\.?|more|\.{3}|…)[\s|_*.…-]*[\]>)}）】]\s*$", re.I)
-_EMOJI = re.compile(r"(?:[←-⇿☀-➿\U0001f000-\U0001faff⬀-⯿️‍]|[:;]-?[)(DP]|[(（][^)）]*[)）])\s*$")
+_MARK_WORD = re.compile(r"[\s|_*.…-]*(?:truncated|trunc|cut|cut off|snip|snipped|continued|cont\.?|more|\.{3}|…)[\s|_*.…-]*", re.I)
+_EMOJI = re.compile(r"[←-⇿☀-➿\U0001f000-\U0001faff⬀-⯿️‍]|[:;]-?[)(DP]")
 _CLOSERS = "\"'”’»«“„」』*_~` \t\r\n ​"
 _BULLET = re.compile(r"\s*(?:[-*•·–+]|\d+[.)、]|[a-z][.)])\s+")
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
@@ -56,6 +57,14 @@ def is_stand_in(text: str) -> bool:
     return len(text) < 60 and text.strip().strip(".,;:!\"'`*_").strip().lower() in STAND_INS
 
 
+def _bracketed(s: str, opening: str, closing: str) -> str | None:
+    """What stands in the brackets that end ``s``: from the last opening one, if no closing one lies between; else None."""
+    if not s or s[-1] not in closing:
+        return None
+    at = max(s.rfind(c) for c in opening)
+    return s[at + 1 : -1] if at >= 0 and not any(c in closing for c in s[at + 1 : -1]) else None
+
+
 def structure(text: str) -> tuple[str, str]:
     """('cut' | 'whole' | 'list' | 'open', the text without trailing closers) from structure alone."""
     s = text.rstrip()
@@ -73,7 +82,8 @@ def structure(text: str) -> tuple[str, str]:
         return "cut", s
     if s.endswith("```"):
         return "whole", s
-    if _MARK_WORD.search(s[-80:]):  # both patterns end with the text and are short
+    mark = _bracketed(s, "[<({（【", "]>)}）】")
+    if mark is not None and _MARK_WORD.fullmatch(mark):
         return "cut", s
     lines = body.rstrip().split("\n")
     last = lines[-1]
@@ -84,7 +94,7 @@ def structure(text: str) -> tuple[str, str]:
         row = last.strip()
         whole = len(row) > 1 and row.endswith("|") and (first == len(lines) - 1 or row.count("|") == lines[first].count("|"))
         return ("whole" if whole else "cut"), s
-    if _EMOJI.search(s[-80:]):
+    if _EMOJI.fullmatch(s[-1]) or _EMOJI.fullmatch(s[-2:]) or _EMOJI.fullmatch(s[-3:]) or _bracketed(s, "(（", ")）") is not None:
         return "whole", s
     t = s.rstrip(_CLOSERS)
     if not t:
@@ -145,7 +155,7 @@ class _Tokens:
         self.stop, self.brk = stop[codes], brk[codes]
         self.ends = np.array(ends, np.int64)
 
-    def contexts(self, at: np.ndarray, allowed: np.ndarray | None = None):
+    def contexts(self, at: np.ndarray, allowed: Bits | None = None):
         """For both spellings and n = 1..ORDERS: (order, positions, hashes of the n tokens that end there).
 
         ``allowed``: a filter over the top bits of the hashes.  An asked context is asked in every shorter form
@@ -160,7 +170,7 @@ class _Tokens:
                 h = mix(h * U(3) + base[i - n + 1])
                 out = mix(h ^ U(n * 2 + kind))
                 if allowed is not None:
-                    ok = allowed[(out >> U(64 - FILTER_BITS)).astype(np.int64)]
+                    ok = allowed.has(out)
                     i, h, out = i[ok], h[ok], out[ok]
                 yield 8 * kind + n - 1, i, out
                 if not len(i):
@@ -221,22 +231,17 @@ def end_columns(use: list[tuple], feats: list[tuple]) -> list[pa.Array]:
 _ENDS_ARROW = pa.schema([("rec", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("limited", pa.bool_()), ("chars", pa.int32()), ("bytes", pa.int32()), ("token", pa.string()), ("own", pa.bool_()), ("ctx", pa.list_(pa.int64()))])
 
 
-def _asked_filter(ends: DataFrame) -> np.ndarray:
-    """A bit map of fixed size (2 ** FILTER_BITS bits) of the contexts that are asked for."""
-    slot = F.expr(f"shiftrightunsigned(c, {64 - FILTER_BITS})")
-    words = ends.where("ctx is not null").select(F.explode("ctx").alias("c")).where("c <> 0")
-    words = words.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(c, {64 - FILTER_BITS}) % 64 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[got.w.to_numpy()] = got.b.to_numpy()
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+def _asked_filter(ends: DataFrame) -> Bits:
+    """The filter of the contexts that are asked for, sized by their number."""
+    asked = ends.where("ctx is not null").select(F.explode("ctx").alias("c")).where("c <> 0")
+    return Bits.of(asked, "c", FILTER_BITS)
 
 
 def _corpus_batches(asked):
     """('c', context, seen, closes) and ('w', word, seen) over all texts, summed within a batch."""
 
     def run(batches):
-        bits = np.frombuffer(np.unpackbits(asked.value, bitorder="little").tobytes(), bool)
+        bits = asked.value
         vocab: dict[str, int] = {}
         keys, seen, closes = [], [], []
 
@@ -312,16 +317,20 @@ def _trie_batches(batches):
 def vocabulary_prefixes(words: DataFrame, asked: DataFrame) -> DataFrame:
     """token, known (its count as a word), extensions (uses of known words, seen twice or more, of which it is a proper prefix).
 
-    The shard of a word is its first three letters, or what there is of them; words stand in the shard
-    of each shorter asked token too, so that tokens of one and two letters meet their extensions."""
+    The shard of a word is its first three letters.  Tokens of one and two letters would draw whole letters of the
+    vocabulary into one task; their extensions are plain sums over the words that begin so."""
     v = words.groupBy("word").agg(F.sum("seen").alias("seen"))
     a = asked.select(F.col("token").alias("word")).where("word is not null").distinct()
     all_ = v.join(a.withColumn("ask", F.lit(True)), "word", "full").select("word", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("ask", F.lit(False)).alias("ask"))
-    rows = all_.select(F.expr("explode(array_distinct(array(substr(word, 1, 1), substr(word, 1, 2), substr(word, 1, 3))))").alias("shard"), "word", "seen", "ask")
-    rows = rows.withColumn("ask", F.col("ask") & (F.col("shard") == F.expr("substr(word, 1, 3)")))
-    need = a.select(F.expr("substr(word, 1, 3)").alias("shard")).distinct()
-    rows = rows.join(need, "shard", "left_semi")
-    return rows.repartition("shard").sortWithinPartitions("shard", "word").mapInArrow(_trie_batches, "token string, known long, extensions long")
+    all_ = all_.where("seen >= 2 or ask")
+    long = all_.where("length(word) >= 3").withColumn("shard", F.substring("word", 1, 3))
+    need = a.where("length(word) >= 3").select(F.substring("word", 1, 3).alias("shard")).distinct()
+    walked = long.join(need, "shard", "left_semi").select("shard", "word", "seen", "ask")
+    walked = walked.repartition("shard").sortWithinPartitions("shard", "word").mapInArrow(_trie_batches, "token string, known long, extensions long")
+    heads = all_.where("seen >= 2").select(F.explode(F.expr("filter(array(substr(word, 1, 1), if(length(word) > 1, substr(word, 1, 2), null)), p -> length(p) < length(word))")).alias("word"), "seen")
+    heads = heads.groupBy("word").agg(F.sum("seen").alias("extensions"))
+    short = all_.where("ask and length(word) <= 2").join(heads, "word", "left").select(F.col("word").alias("token"), F.col("seen").alias("known"), F.coalesce("extensions", F.lit(0)).alias("extensions"))
+    return walked.union(short)
 
 
 def length_spikes(ends: DataFrame) -> DataFrame:
@@ -347,7 +356,7 @@ def judged(records: DataFrame, rec: str = "gen_id", text: str = "response_text",
 def judge(ends: DataFrame, texts: DataFrame, cut_below: float = 0.04) -> DataFrame:
     """The decision over text ends (columns of _ENDS) with the statistics of all ``texts``."""
     spark = ends.sparkSession
-    asked = spark.sparkContext.broadcast(np.packbits(_asked_filter(ends), bitorder="little"))
+    asked = spark.sparkContext.broadcast(_asked_filter(ends))  # at most 2 ** FILTER_BITS[1] bits
     stats = materialise(spread(texts).mapInArrow(_corpus_batches(asked), "ctx long, word string, seen long, closes long"), "cut-corpus")
     ctx = stats.where("ctx is not null").groupBy("ctx").agg(F.sum("seen").alias("seen"), F.sum("closes").alias("closes"))
     trie = vocabulary_prefixes(stats.where("word is not null").select("word", "seen"), ends.where("token is not null and not own"))

@@ -63,13 +63,47 @@ def test_shortened(spark):
     long = ["".join(rng.choice("abcdefg ") for _ in range(60)) + f" end{i}" for i in range(200)]
     short = [t[:40].rstrip() + "x"[:0] for t in long[:50]]
     df = spark.createDataFrame([(t,) for t in long + short], "text string")
-    heads = spark.createDataFrame([(P._signed(P._digest(t[: P.HEAD])),) for t in short], "head long")
+    heads = spark.createDataFrame([(P._signed(P._digest(t[: P._head(t)])),) for t in short], "head long")
     got = {r.digest for r in P.shortened(df, heads).collect()}
     bare = [t.rstrip(P._TAIL) for t in short]
     want = {P._signed(P._digest(s)) for s in bare if any(t.startswith(s) and P._GOES_ON.match(t, len(s)) for t in long)}
     assert got == want and len(want) > 40
 
 
+def test_every_continuation_counts(spark):
+    long = "the harvest season"
+    rows = [long, long + "\nis over", long + '" x', long + " ends early", "tiny", "tiny!", "tiny house", "abc", "abc d", "lonely text here", "lonely text here!"]
+    asked = [long, "tiny", "abc", "lonely text here"]
+    heads = spark.createDataFrame([(P._signed(P._digest(t[: P._head(t)])),) for t in asked if P._head(t)], "head long")
+    want = {P._signed(P._digest(t)) for t in (long, "tiny")}
+    for k in ("1", "40"):  # with many ranges, prefixes and continuations lie in different ones
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", k)
+        got = {r.digest for r in P.shortened(spark.createDataFrame([(t,) for t in rows], "text string"), heads).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert want <= got and P._signed(P._digest("lonely text here")) not in got and P._signed(P._digest("abc")) not in got
+
+
+def test_a_small_map_changes_no_result(spark, monkeypatch):
+    rng = random.Random(4)
+    long = ["".join(rng.choice("abc ") for _ in range(40)) + f" end{i}" for i in range(300)]
+    asked = [t[:25].rstrip() for t in long[:60]]
+    df = spark.createDataFrame([(t,) for t in long + asked], "text string")
+    heads = spark.createDataFrame([(P._signed(P._digest(t[: P._head(t)])),) for t in asked], "head long")
+    want = {r.digest for r in P.shortened(df, heads).collect()} & {P._signed(P._digest(t)) for t in asked}
+    monkeypatch.setattr(P, "FILTER_BITS", (6, 6))
+    assert {r.digest for r in P.shortened(df, heads).collect()} & {P._signed(P._digest(t)) for t in asked} == want and len(want) > 50
+
+
+def test_long_texts_follow_the_same_rules():
+    no = "I'm sorry, but I can't help with that request. " * 30
+    assert P.is_refusal(no) and not P.is_refusal(no + "The garden path is best reached from the old station.")
+    wide = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in PROMPT)
+    assert P.is_copy(wide, PROMPT)
+    assert P.is_copy("\n".join([PROMPT] * 25), PROMPT) and not P.is_copy("\n".join([PROMPT] * 25) + " The square needs trees and more light along its northern edge.", PROMPT)
+    assert P.is_copy(" ".join([PROMPT.replace("square", "sqare")] * 6), PROMPT) and P.is_copy("*" * 3000 + PROMPT, PROMPT)
+
+
 def test_empty(spark):
     r = spark.createDataFrame([], "gen_id long, language string, prompt_id string, model string, finish_reason string, response_text string")
     p = spark.createDataFrame([], "prompt_id string, language string, prompt_text string")

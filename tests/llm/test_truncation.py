@@ -17,6 +17,21 @@ def test_structure(text, want):
     assert T.structure(text)[0] == want
 
 
+def test_long_brackets_close_a_text_too():
+    for n in (3, 60, 4000):
+        assert T.structure("The path is open (see the " + "old " * n + "map)")[0] == "whole"
+    assert T.structure("It stops [ " + "." * 200 + " truncated ]")[0] == "cut" and T.structure("He said (a) or b)")[0] == "open"
+
+
+def test_a_small_map_changes_no_result(spark, monkeypatch):
+    c = corpus(200)
+    rows = [(i, t if i % 5 else t[: len(t) * 2 // 3], f"m{i % 3}", "stop", "x") for i, t in enumerate(c)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r.gen_id for r in T.truncated(df).collect()}
+    monkeypatch.setattr(T, "FILTER_BITS", (6, 6))
+    assert {r.gen_id for r in T.truncated(df).collect()} == want and want
+
+
 def corpus(n=400, seed=0):
     rng = random.Random(seed)
     subj, verb, obj = ["the teacher", "the garden", "a small library", "the morning train"], ["supports", "explains", "replaces", "surrounds"], ["the old bridge", "a quiet evening", "the harvest season", "the winter storm"]
@@ -50,9 +65,9 @@ def test_length_spike_and_reported_stop(spark):
 
 def test_trie_counts(spark):
     words = spark.createDataFrame([("restores", 5), ("restored", 2), ("rest", 1), ("r", 9), ("zebra", 3)], "word string, seen long")
-    asked = spark.createDataFrame([("restor",), ("rest",), ("re",), ("zebra",), ("q",), (None,)], "token string")
+    asked = spark.createDataFrame([("restor",), ("rest",), ("re",), ("zebra",), ("q",), ("z",), (None,)], "token string")
     got = {r.token: (r.known, r.extensions) for r in T.vocabulary_prefixes(words, asked).collect()}
-    assert got == {"restor": (0, 7), "rest": (1, 7), "re": (0, 7), "zebra": (3, 0), "q": (0, 0)}
+    assert got == {"restor": (0, 7), "rest": (1, 7), "re": (0, 7), "zebra": (3, 0), "q": (0, 0), "z": (0, 3)}
 
 
 def test_empty(spark):
