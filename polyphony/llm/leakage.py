@@ -9,7 +9,7 @@ Candidates are verified exactly: shingle containment in the document, then a loc
 with the place, which lets single changed words pass and gives the share of the item that the passage covers.
 
 The document side is one map over the corpus, without a shuffle.  The item side is broadcast in chunks of at
-most ``chunk`` items, so the broadcast is bounded whatever the number of items.
+most ``chunk`` items (about 2.5 kB each), so the broadcast is bounded whatever the number of items, and the corpus is read once a chunk.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Leakage:
     contained: float = 0.22
     share: float = 0.5
     slack_tokens: int = 0
-    chunk: int = 20_000
+    chunk: int = 100_000
     seed: int = 11
 
 
@@ -90,8 +90,8 @@ def _multipliers(cfg: Leakage) -> np.ndarray:
     return mix(np.arange(1, cfg.hashes + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(cfg.seed)) | U(1)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return ((h * U(0xD6E8FEB86659FD93)) >> U(48)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h * U(0xD6E8FEB86659FD93)) >> U(64 - bits)).astype(np.int64)
 
 
 class Items:
@@ -105,18 +105,22 @@ class Items:
         self.hash, self.off = _token_hashes([toks[i] for i in keep])
         self.chars = [np.array([len(w) for w in toks[i]]) for i in keep]
         s, text, _ = _shingles(self.hash, self.off, cfg.shingle)
-        self.sets = [np.unique(s[text == i]) for i in range(len(keep))]
+        cut = np.searchsorted(text, np.arange(len(keep) + 1))
+        self.sets = [np.unique(s[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
         self.parts: dict[int, list[int]] = {}
         for i, x in enumerate(self.sets):
             self.parts.setdefault(max(2 * BLOCK, 1 << int(np.ceil(np.log2(max(2, len(x)))))), []).append(i)
         m = _multipliers(cfg)
         self.index = {}
         for size, members in self.parts.items():
-            sk = np.stack([(self.sets[i][None, :] * m[:, None]).min(1) for i in members], 1)  # hashes x items
+            own = np.concatenate([self.sets[i] for i in members])
+            first = np.cumsum([0, *(len(self.sets[i]) for i in members[:-1])])
+            sk = np.stack([np.minimum.reduceat(own * x, first) for x in m])  # hashes x items
             order = np.argsort(sk, axis=1, kind="stable")
-            there = np.zeros((len(m), 1 << 16), bool)
-            there[np.arange(len(m))[:, None], _slot(sk)] = True
-            self.index[size] = (np.take_along_axis(sk, order, 1), np.array(members)[order], there)
+            bits = max(16, (8 * len(members)).bit_length())
+            there = np.zeros((len(m), 1 << bits), bool)
+            there[np.arange(len(m))[:, None], _slot(sk, bits)] = True
+            self.index[size] = (np.take_along_axis(sk, order, 1), np.array(members, np.int32)[order], there, bits)
 
     def candidates(self, s: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Distinct (text, item) whose sketches agree in ``least`` places in some window."""
@@ -136,11 +140,11 @@ class Items:
                 low = np.where((block_text[j] == block_text)[None, :], np.minimum(low, low[:, j]), low)
                 width *= 2
             pick = np.flatnonzero(number % (width // 2) == 0)
-            values, owners, there = self.index[size]
+            values, owners, there, bits = self.index[size]
             pairs = []
             for k in range(len(m)):
                 w = low[k, pick]
-                maybe = np.flatnonzero(there[k][_slot(w)])
+                maybe = np.flatnonzero(there[k][_slot(w, bits)])
                 if not len(maybe):
                     continue
                 w, picked = w[maybe], pick[maybe]

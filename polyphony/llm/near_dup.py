@@ -5,9 +5,10 @@ Each text of ``min_chars`` characters or more becomes the set of its distinct ch
 each of 256 bins, so two sets of Jaccard similarity J differ in about 128 * (1 - J) bits), and
 ``bands`` keys, each of ``rows`` further minima.  Rows that share a key meet in one block.  A block
 is compared exhaustively, in tiles, by numpy exclusive-or and bit counts; a tile pair is skipped
-where the population counts of the two sides (the sizes of the shingle sets, and the ones in the
-sketches) differ by more than the radius allows, which is lossless for the Hamming radius.  Pairs
-within the radius are then held against their exact shingle sets.
+where the population counts of the two sides differ by more than the radius allows: the sizes of the
+shingle sets, by which the rows of a block are sorted, and the ones in the sketches (of which there are about
+128 in every sketch, so that it is the set sizes that skip).  Pairs within the radius are then held against their
+exact shingle sets.
 
 Copies (equal after normalisation) are compared once, through one representative, and the pairs
 of their members are added at the end.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyphony.llm.common import U, as_signed, code_points, mix, spread, squeeze, window_hashes
+from polyphony.llm.common import Bits, U, as_signed, code_points, mix, partitions_for, spread, squeeze, window_hashes
 from polyphony.session import materialise
 
 BITS = 256
@@ -116,18 +117,23 @@ def sketches(records: DataFrame, cfg: NearDup, rec: str, text: str) -> DataFrame
 
 
 def _frequent_keys(cfg: NearDup, parts: int):
-    """Keys of which this partition holds so many that they may have more than ``hot`` rows in all."""
-    least = max(2, cfg.hot // max(1, parts))
+    """Keys of which this partition holds so many that they may have more than ``hot`` rows in all.
+
+    A table of counters of fixed size, which may only count too much, runs along with the batches; a key is kept from the
+    moment its counter says that it may be frequent.  A key under the bound in each partition has at most half of ``hot`` rows."""
+    least = max(2, cfg.hot // (2 * max(1, parts)))
 
     def run(batches):
+        counters = np.zeros(1 << 22, np.int64)
         kept: dict[int, int] = {}
         for batch in batches:
             k = batch.column(0).flatten().to_numpy().astype(np.int64).reshape(-1, cfg.bands)
             k, c = np.unique(k + (np.arange(cfg.bands) << 32), return_counts=True)
-            for x, y in zip(k[c >= 2].tolist(), c[c >= 2].tolist(), strict=True):
-                kept[x] = kept.get(x, 0) + y
-        out = [(k, c) for k, c in kept.items() if c >= least // 2]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["key", "c"])
+            slot = (mix(k.view(U)) >> U(42)).astype(np.int64)
+            np.add.at(counters, slot, c)
+            for x, y, z in zip(*(v[counters[slot] >= least].tolist() for v in (k, c, slot)), strict=True):
+                kept[x] = kept[x] + y if x in kept else int(counters[z])
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["key", "c"])
 
     return run
 
@@ -217,7 +223,6 @@ def _block_batches(cfg: NearDup):
 
 def candidate_pairs(reps: DataFrame, cfg: NearDup) -> DataFrame:
     """(a, b), a < b: representatives whose sketches lie within the radius and share a band key."""
-    spark = reps.sparkSession
     parts = max(1, reps.rdd.getNumPartitions())
     rows = reps.select("rec", "n", "w0", "w1", "w2", "w3", F.posexplode("keys").alias("band", "k"))
     rows = rows.withColumn("key", F.col("k") + F.shiftleft(F.col("band").cast("long"), 32)).drop("band", "k")
@@ -235,7 +240,7 @@ def candidate_pairs(reps: DataFrame, cfg: NearDup) -> DataFrame:
     else:
         zero = F.lit(0)
         rows = rows.select("key", zero.alias("f"), zero.alias("g"), "rec", "n", "w0", "w1", "w2", "w3", zero.alias("frag"))
-    k = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    k = partitions_for(reps, 2 << 20)  # a representative is a row of each of its bands here
     blocks = rows.repartition(k, "key", "f", "g").sortWithinPartitions("key", "f", "g", "n")
     return blocks.mapInArrow(_block_batches(cfg), "a long, b long").distinct()
 
@@ -266,32 +271,26 @@ def _exact(cfg: NearDup):
     return run
 
 
-SLOTS = 16_777_213
+#: log2 of the least and greatest number of bits of the filter of asked ids.
+FILTER_BITS = (16, 28)
 
 
 def _with_ids(shared):
-    """Rows whose id may be asked for: a bit map of fixed size lets few others through, and the join that follows drops them."""
+    """Rows whose id may be asked for: the bit map lets few others through, and the join that follows drops them."""
 
     def run(batches):
-        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
         for batch in batches:
-            ok = bits[np.mod(batch.column(0).to_numpy(zero_copy_only=False), SLOTS)]
+            ok = shared.value.has(batch.column(2).to_numpy().view(U))
             if ok.any():
-                yield batch.filter(pa.array(ok))
+                yield batch.select([0, 1]).filter(pa.array(ok))
 
     return run
 
 
-def rows_of(rows: DataFrame, ids: DataFrame, schema: str) -> DataFrame:
-    """Rows (first column rec LONG, not NULL) whose rec is in ``ids``, without shuffling the others."""
-    spark = rows.sparkSession
-    slot = F.pmod("rec", F.lit(SLOTS))
-    words = ids.select(F.floor(slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(rec, {SLOTS}), 64) as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most SLOTS / 64 rows
-    bits = np.zeros(-(-SLOTS // 64), np.int64)
-    bits[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
-    return rows.mapInArrow(_with_ids(shared), schema).join(ids, "rec", "left_semi")
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (rec LONG, not NULL, and text) whose rec is in ``ids``, without shuffling the others."""
+    shared = rows.sparkSession.sparkContext.broadcast(Bits.of(ids.select(F.xxhash64("rec").alias("h")), "h", FILTER_BITS))
+    return rows.select("rec", "text", F.xxhash64("rec").alias("h")).mapInArrow(_with_ids(shared), "rec long, text string").join(ids, "rec", "left_semi")
 
 
 def similar_classes(records: DataFrame, cfg: NearDup = NearDup(), rec: str = "gen_id", text: str = "response_text") -> tuple[DataFrame, DataFrame]:
@@ -311,7 +310,7 @@ def similar_classes(records: DataFrame, cfg: NearDup = NearDup(), rec: str = "ge
     cand = materialise(candidate_pairs(reps, cfg), "near-dup-candidates")
     ids = cand.select(F.col("a").alias("rec")).union(cand.select(F.col("b").alias("rec"))).distinct()
     texts = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).where((F.length("text") >= cfg.min_chars) & F.col("rec").isNotNull())
-    texts = materialise(rows_of(texts, ids, "rec long, text string").dropDuplicates(["rec"]), "near-dup-texts")
+    texts = materialise(rows_of(texts, ids).dropDuplicates(["rec"]), "near-dup-texts")
     both = cand.join(texts.select(F.col("rec").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("rec").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     pairs = both.mapInArrow(_exact(cfg), "a long, b long, similarity double")
@@ -321,8 +320,9 @@ def similar_classes(records: DataFrame, cfg: NearDup = NearDup(), rec: str = "ge
 def near_duplicate_pairs(records: DataFrame, cfg: NearDup = NearDup(), rec: str = "gen_id", text: str = "response_text") -> DataFrame:
     """gen_id_a, gen_id_b: all pairs of records with near-equal texts, copies included.
 
-    Members of a class of more than ``star`` exact copies are paired with its representative only, and
-    such a class meets other classes through its representative; every other pair is given.
+    A class of more than ``star`` exact copies is given as its membership, that is as pairs of its representative with each
+    member, and meets other classes through its representative; every other pair is given.  ``near_duplicate_groups``
+    has one form at every size.
     """
     pairs, members = similar_classes(records, cfg, rec, text)
     members = materialise(members, "near-dup-members")
@@ -342,12 +342,12 @@ def near_duplicate_pairs(records: DataFrame, cfg: NearDup = NearDup(), rec: str
     return p.union(inside).union(star).select(F.col("a").alias("gen_id_a"), F.col("b").alias("gen_id_b"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: connected components, the root being the least node.  Alternating large-star and
     small-star steps, each a bounded group-by; the table is written each round and rounds end when no edge changes."""
     e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc")
     sig = None
-    for _ in range(max_rounds):
+    while True:  # the number of rounds grows with the logarithm of the nodes
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -360,8 +360,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         if sig == s:
             break
         sig = s
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.join(e.select(F.col("u").alias("node")), "node", "left_anti"))
 

@@ -1,8 +1,10 @@
 """Documents into containers of fixed capacity: vector best-fit over bounded groups.
 
 An item has three sizes: tokens, one document, and attention cost (tokens squared); a bin has a capacity in
-each.  Items come in falling order of tokens; of the bins that have room in every dimension, an item goes to the
-one whose residual after it has the least weighted norm.  A document is split only where it alone exceeds the
+each: the container's tokens, a number of documents, and a share of the attention cost of one document that fills it.
+Items come in falling order of tokens; of the bins that have room in every dimension, an item goes to the
+one whose residual after it has the least weighted norm, or the greatest weighted dot product with it.  A document whose own attention cost is over the capacity
+cannot be made cheaper without being split, so it takes all of a bin's attention and stands alone.  A document is split only where it alone exceeds the
 token capacity: into full pieces, each a bin, and a rest, which is an item.
 
 Packing one list is sequential, so items are dealt by a hash into groups of about ``group`` documents, each
@@ -30,32 +32,50 @@ class Packing:
     group: int = 4096
     rounds: int = 2
     well_filled: float = 0.95
-    max_docs: int = 512
-    attention_share: float = 1.0
+    max_docs: int = 32
+    attention_share: float = 0.75
+    near_bound: float = 0.02
     weights: tuple[float, float, float] = (1.0, 0.05, 0.1)
 
 
-def best_fit(sizes: np.ndarray, capacity: int, cfg: Packing = Packing()) -> np.ndarray:
-    """Bin of each item; every size is between 1 and ``capacity``."""
-    n = len(sizes)
-    out = np.zeros(n, np.int64)
-    cap = np.array([capacity, cfg.max_docs, cfg.attention_share * float(capacity) ** 2])
+def _fit(sizes: np.ndarray, cost: np.ndarray, cap: np.ndarray, cfg: Packing, start: int, dot: bool) -> np.ndarray:
+    """Bin of each item, ``start`` bins being open from the beginning."""
     w = np.array(cfg.weights)
-    room = np.empty((max(1, n), 3))
-    bins = 0
+    room = np.empty((len(sizes) + start, 3))
+    room[:start] = cap
+    out = np.zeros(len(sizes), np.int64)
+    bins = start
     for i in np.argsort(-sizes, kind="stable"):
-        need = np.array([sizes[i], 1.0, min(float(sizes[i]) ** 2, cap[2])])
+        need = np.array([sizes[i], 1.0, cost[i]])
         left = room[:bins] - need
         ok = np.flatnonzero((left >= -1e-9).all(1))
         if len(ok):
-            r = left[ok] / cap
-            b = ok[int((r * r @ w).argmin())]
+            r = (room[ok] if dot else left[ok]) / cap
+            b = ok[int((r @ (w * need / cap)).argmax() if dot else (r * r @ w).argmin())]
             room[b] = left[b]
         else:
             b = bins
             room[b] = cap - need
             bins += 1
         out[i] = b
+    return np.unique(out, return_inverse=True)[1]
+
+
+def best_fit(sizes: np.ndarray, capacity: int, cfg: Packing = Packing()) -> np.ndarray:
+    """Bin of each item; every size is between 1 and ``capacity``.
+
+    First by the least residual norm.  Where that leaves more than ``near_bound`` above the lower bound, as it does when small
+    items are left over to the end and their number binds, the bins of the lower bound are opened at once, items go where the
+    weighted dot product of need and room is greatest, and the better of the two is kept."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    cap = np.array([capacity, cfg.max_docs, cfg.attention_share * float(capacity) ** 2])
+    cost = np.minimum(sizes.astype(float) ** 2, cap[2])
+    least = int(np.ceil(np.array([sizes.sum(), len(sizes), cost.sum()]) / cap - 1e-9).max())
+    out = _fit(sizes, cost, cap, cfg, 0, False)
+    if out.max() + 1 > (1 + cfg.near_bound) * least:
+        other = _fit(sizes, cost, cap, cfg, least, True)
+        out = other if other.max() < out.max() else out
     return out
 
 
@@ -135,9 +155,29 @@ def pack_documents(documents: DataFrame, containers: DataFrame, cfg: Packing = P
     return pack(n.select(F.col("rec").alias("doc_id"), F.col("n_tokens").alias("tokens")), containers, cfg)
 
 
-def fill_rates(assigned: DataFrame) -> DataFrame:
-    """container_class, capacity, n_docs, n_split, n_bins, tokens, fill_rate."""
-    bins = assigned.groupBy("container_class", "capacity", "bin_id").agg(F.sum("tokens").alias("t"))
-    b = bins.groupBy("container_class", "capacity").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("t").alias("tokens"))
+def fill_rates(assigned: DataFrame, cfg: Packing = Packing()) -> DataFrame:
+    """container_class, capacity, n_docs, n_split, n_bins, tokens, fill_rate; least_bins: no assignment can do with fewer, by the
+    tokens, pieces and attention costs in all; most_docs, attention_use: the fullest bin's documents, and the mean share of the
+    attention capacity in use; bound_by_docs, bound_by_attention: bins that have token room left which the other capacity closes.
+
+    Full pieces of a split document are bins of their own, outside the two other capacities."""
+    cap = F.col("capacity")
+    att = F.lit(cfg.attention_share) * cap.cast("double") * cap
+    cost = F.least(F.col("tokens").cast("double") * F.col("tokens"), att)
+    full = F.col("tokens") == cap
+    bins = assigned.groupBy("container_class", "capacity", "bin_id").agg(
+        F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("d"), F.sum(cost).alias("a"), F.sum(F.when(~full, 1)).alias("rest"), F.sum(F.when(~full, cost)).alias("rest_a")
+    )
+    open_ = F.col("t") < cap
+    room = (cap - F.col("t")).cast("double")
+    b = bins.groupBy("container_class", "capacity").agg(
+        F.count(F.lit(1)).alias("n_bins"), F.sum("t").alias("tokens"), F.sum(F.when(F.col("rest").isNull(), 1).otherwise(0)).alias("whole"), F.coalesce(F.sum("rest"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("rest_a"), F.lit(0.0)).alias("costs"),
+        F.max("d").alias("most_docs"), F.avg(F.col("a") / att).alias("attention_use"),
+        F.sum((open_ & (F.col("d") >= cfg.max_docs)).cast("long")).alias("bound_by_docs"), F.sum((open_ & (att - F.col("a") < room * room)).cast("long")).alias("bound_by_attention"),
+    )
+    least = F.greatest(F.ceil(F.col("tokens") / cap), F.col("whole") + F.greatest(F.ceil(F.col("pieces") / cfg.max_docs), F.ceil(F.col("costs") / att - 1e-9))).cast("long")
     d = assigned.groupBy("container_class", "doc_id").agg(F.max("piece").alias("p")).groupBy("container_class").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("p") > 0).cast("long")).alias("n_split"))
-    return b.join(d, "container_class").select("container_class", "capacity", "n_docs", "n_split", "n_bins", "tokens", (F.col("tokens") / (F.col("n_bins") * F.col("capacity"))).alias("fill_rate"))
+    return b.join(d, "container_class").select(
+        "container_class", "capacity", "n_docs", "n_split", "n_bins", "tokens", (F.col("tokens") / (F.col("n_bins") * cap)).alias("fill_rate"),
+        least.alias("least_bins"), "most_docs", "attention_use", "bound_by_docs", "bound_by_attention",
+    )

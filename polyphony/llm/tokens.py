@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,11 @@ class Ranks:
         order = np.argsort(np.array(pairs, np.int64), kind="stable")
         return Ranks(np.array(pairs, np.int64)[order], np.array(made, np.int32)[order], np.array([ids[bytes([i])] for i in range(256)], np.int32), pattern)
 
+    @cached_property
+    def table(self) -> dict[int, int]:
+        """The merges as a dictionary, made when the first very long piece asks for it."""
+        return dict(zip(self.pairs.tolist(), self.made.tolist(), strict=True))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it does not merge; negative symbols are gaps."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
@@ -60,7 +66,7 @@ class Ranks:
 
 def _merge_long(symbols: list[int], ranks: Ranks) -> int:
     """One very long piece: the same merges in the same order, from a heap."""
-    table = dict(zip(ranks.pairs.tolist(), ranks.made.tolist(), strict=True))
+    table = ranks.table
     n = len(symbols)
     nxt, prv, sym = list(range(1, n + 1)), list(range(-1, n - 1)), list(symbols)
     heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := table.get(sym[i] << 32 | sym[i + 1])) is not None]

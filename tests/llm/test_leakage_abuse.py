@@ -46,6 +46,22 @@ def test_candidates_have_high_recall():
     assert found >= 118
 
 
+def test_index_time_is_linear():
+    import time
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(25)) for _ in range(16_000)]
+    took = []
+    for n in (2_000, 16_000):
+        t = time.perf_counter()
+        it = K.Items(list(range(n)), texts[:n], K.Leakage())
+        took.append(time.perf_counter() - t)
+    assert took[1] < 20 * took[0]
+    h, off = K._token_hashes([K.tokens(" ".join(passage(rng, 200)) + " " + texts[777] + " " + " ".join(passage(rng, 100)))])
+    s, text, _ = K._shingles(h, off, 5)
+    assert (0, 777) in {tuple(p) for p in it.candidates(s, text)}
+
+
 def test_cjk_and_empty(spark):
     t = "里菲多千万不要着急河岸常常被大家忽略里菲多非常值得付出努力几个星期之后收获的季节打断了工作"
     d = spark.createDataFrame([(1, "前面的话。" + t[:15] + "**" + t[15:] + "。后面"), (2, "完全不同的一篇文章没有关系")], "doc_id long, text string")

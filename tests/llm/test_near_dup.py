@@ -65,6 +65,27 @@ def test_hot_blocks_are_cut_without_loss(spark):
     assert got <= want and len(got) > 0.99 * len(want)  # many of these pairs lie at the very threshold
 
 
+def test_hot_keys_are_counted_over_batches():
+    import pyarrow as pa
+
+    cfg = N.NearDup(hot=100, bands=2)
+
+    def batch(i):  # one key once in each batch, the other never twice
+        return pa.RecordBatch.from_arrays([pa.array([[7, i]], pa.list_(pa.int32()))], ["keys"])
+
+    got = {}
+    for b in N._frequent_keys(cfg, 1)(batch(i) for i in range(300)):
+        got.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    assert got == {7: 300}
+
+
+def test_a_small_map_changes_no_result(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(texts(5, 20))), "gen_id long, response_text string")
+    want = {tuple(r) for r in N.near_duplicate_pairs(df).collect()}
+    monkeypatch.setattr(N, "FILTER_BITS", (6, 6))
+    assert {tuple(r) for r in N.near_duplicate_pairs(df).collect()} == want and want
+
+
 def test_tiles_find_what_all_pairs_find():
     rng = np.random.default_rng(0)
     n = 1500

@@ -41,7 +41,7 @@ def test_best_fit(seed):
     b = P.best_fit(np.minimum(size, 400), 512, cfg)
     s = np.minimum(size, 400)
     assert (np.bincount(b, s) <= 512).all() and (np.bincount(b) <= 9).all() and (np.bincount(b, s.astype(float) ** 2) <= 0.7 * 512**2 + 1e-6).all()
-    free = P.best_fit(size, 512)
+    free = P.best_fit(size, 512, P.Packing(max_docs=512, attention_share=1.0))
     assert free.max() + 1 <= 1.03 * max(size.sum() / 512, (size > 256).sum())
 
 
@@ -68,6 +68,20 @@ def test_pack(spark):
     assert f["a"].n_docs == 700 and f["a"].n_split == sum(n > 512 for n in want.values())
 
 
+def test_each_capacity_binds(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(x)) for i, x in enumerate(np.r_[rng.integers(1, 20, 1500), rng.integers(300, 500, 60)])]
+    sizes = spark.createDataFrame(rows, "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("a", 512)], "container_class string, capacity_tokens int")
+    got = P.pack(sizes, kinds).toPandas()
+    by = got.groupby("bin_id").tokens
+    assert (by.size() <= 32).all() and (by.sum() <= 512).all()
+    cost = (got.tokens.astype(float) ** 2).groupby(got.bin_id).sum()
+    assert all(c <= 0.75 * 512**2 or n == 1 for c, n in zip(cost.sort_index(), by.size().sort_index()))
+    f = P.fill_rates(P.pack(sizes, kinds)).first()
+    assert f.bound_by_docs > 0 and f.bound_by_attention > 0 and f.most_docs == 32 and f.least_bins <= f.n_bins <= 1.15 * f.least_bins
+
+
 def test_pack_empty(spark):
     sizes, kinds = spark.createDataFrame([], "doc_id long, tokens long"), spark.createDataFrame([], "container_class string, capacity_tokens int")
     assert P.pack(sizes, kinds).count() == 0
