@@ -117,7 +117,7 @@ class Items:
             first = np.cumsum([0, *(len(self.sets[i]) for i in members[:-1])])
             sk = np.stack([np.minimum.reduceat(own * x, first) for x in m])  # hashes x items
             order = np.argsort(sk, axis=1, kind="stable")
-            bits = max(16, (8 * len(members)).bit_length())
+            bits = max(16, (2 * len(members)).bit_length())
             there = np.zeros((len(m), 1 << bits), bool)
             there[np.arange(len(m))[:, None], _slot(sk, bits)] = True
             self.index[size] = (np.take_along_axis(sk, order, 1), np.array(members, np.int32)[order], there, bits)
