@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,22 @@ REFUSALS = {
     "zh": r"(?:不能|无法|不便|不可以|没办法)(?!不).{0,14}(?:帮|回答|协助|提供|讨论|满足|完成|写)|必须拒绝|只能拒绝|不得不拒绝|不想谈|不愿(?:意)?(?:谈|讨论|回答)|违反(?:了)?我的|与我的(?:准则|规则)|不符合我的(?:准则|规定|原则)",
     "ja": r"(?:お応え|お答え|お手伝い|お受け|ご協力|対応|提供|回答|答える|書く|手伝う|執筆).{0,6}(?:できません|できかねます|できない|いたしかね|ことはでき)|控え(?:させて|ます)|お断り|断ら(?:なければ|ざるを)|(?:方針|ガイドライン|規則|ポリシー)に(?:反し|違反)|書くことはできません|ご遠慮",
 }
+# What a sentence must contain for the pattern of the language to be tried at all.
+STEMS = {
+    "en": ["can", "won", "able", "not ", "decline", "refuse", "pass", "say no", "against my", "conflict with", "outside what", "appropriate", "sorry no"],
+    "es": ["no ", "negarme", "rechazar", "declinar", "prefiero no", "en contra de mis"],
+    "pt": ["não", "recusar", "negar", "minhas"],
+    "fr": ["ne ", "refuser", "décliner", "contraire"],
+    "de": ["nicht", "verstößt", "ablehnen", "abzulehnen", "verweigern"],
+    "it": ["non ", "non", "rifiutar", "declinar", "mie "],
+    "ca": ["no ", " no", "negar", "rebutjar", "declinar", "meves"],
+    "ru": ["не", "отказ", "против"],
+    "pl": ["nie", "odmówić", "moimi", "moje"],
+    "eu": ["ezin", "nahiago", "uko egin", "nire "],
+    "vi": ["không", "từ chối", "trái với", "vi phạm"],
+    "zh": ["不", "无法", "没办法", "拒绝", "违反", "与我的"],
+    "ja": ["でき", "いたしかね", "答える", "書く", "手伝う", "控え", "お断り", "断ら", "反し", "違反", "ご遠慮"],
+}
 # Openings, closings and offers that give nothing, as patterns over a whole such sentence.
 FILLERS = (
     r"sure|of course|certainly|absolutely|great question|good question|no problem|sorry(?: no)?|i'?m sorry|my apologies|unfortunately|here is (?:an|the|my) answer|here'?s (?:an|the|my) answer|i hope (?:this|that) helps|is there anything else.*|please ask (?:me )?(?:something|anything) else|(?:do )?(?:you )?(?:have )?any other questions|thanks?(?: you)?(?: for asking)?|let me know.*|i can'?t|no",
@@ -56,7 +73,7 @@ FILLERS = (
     r"当然(?:可以)?|好的|这个问题(?:很好|问得好)|(?:下面|以下)是我的回答|希望这?对您?你?有(?:所)?帮助|请您?你?问别的问题吧?|对不起|抱歉|很遗憾|很抱歉|.*还有(?:什么|其他).*",
     r"もちろん(?:です)?|はい|とても良い質問ですね|良い質問ですね|こちらが回答です|お役に立てば(?:うれしい|嬉しい|幸い)です|別の質問をお願いします|申し訳ありません(?:が)?|すみません|残念ながら|ごめんなさい|.*他に.*(?:ありますか|ございますか)",
 )
-_REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()))
+_DECLINES = [(STEMS[k], re.compile(p)) for k, p in REFUSALS.items()]
 _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+|\n+|\.{3,}")
 _MARKUP = re.compile(r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]|^\s*(?:[-•·]|\d+[.)])\s+", re.M)
@@ -81,7 +98,16 @@ def is_empty(text: str | None) -> bool:
 def _sentences(text: str):
     """Sentences in lower case without markup, line by line, so that a reader may stop early."""
     for line in text.splitlines():
-        yield from filter(None, _SENTENCE.split(_MARKUP.sub("", line.replace("’", "'")).lower()))
+        line = _MARKUP.sub("", line.replace("’", "'")).lower()
+        at = 0
+        for m in _SENTENCE.finditer(line):
+            yield line[at : m.start()]
+            at = m.end()
+        yield line[at:]
+
+
+def _declines(sentence: str) -> bool:
+    return any(rx.search(sentence) for stems, rx in _DECLINES if any(x in sentence for x in stems))
 
 
 def is_refusal(text: str) -> bool:
@@ -93,7 +119,7 @@ def is_refusal(text: str) -> bool:
         if not s:
             continue
         flat = s.replace(",", "").replace("，", "").replace("、", "")
-        if _REFUSAL.search(s) or _REFUSAL.search(flat):
+        if _declines(s) or (flat != s and _declines(flat)):
             found = True
         elif not _FILLER.fullmatch(flat) and not _FILLER.fullmatch(s):
             other += len(_NOT_WORD.sub("", s)) * (2 if "぀" <= s[0] <= "鿿" else 1)
@@ -116,6 +142,14 @@ def _plain_head(text: str, least: int) -> str:
         size *= 2
 
 
+@lru_cache(10_000)
+def _prompt(prompt: str) -> tuple[str, list[str]]:
+    """The plain form of a prompt and its words, or pieces of three letters where it is not written with blanks."""
+    p = _plain(prompt)
+    words = [w for x in prompt.split() if (w := _plain(x))]
+    return p, words if len(words) >= 4 else [p[i : i + 3] for i in range(0, len(p) - 2, 3)]
+
+
 def _nearly(p: str, t: str) -> bool:
     m = SequenceMatcher(None, p, t, autojunk=False)
     return m.quick_ratio() >= 0.84 and m.ratio() >= 0.84
@@ -123,17 +157,12 @@ def _nearly(p: str, t: str) -> bool:
 
 def is_copy(text: str, prompt: str | None) -> bool:
     """Nothing but the prompt, once or repeated, perhaps slightly changed or marked up."""
-    if not prompt:
-        return False
-    p = _plain(prompt)
+    p, words = _prompt(prompt) if prompt else ("", [])
     if len(p) < 5:
         return False
     t = truncation.without_thought(text)
     # Whatever its length, a copy has most words of the prompt in its beginning; few other texts do.
     head = _plain_head(t, len(p) + len(p) // 2 + 8)
-    words = [w for x in prompt.split() if (w := _plain(x))]
-    if len(words) < 4:  # not written with blanks
-        words = [p[i : i + 3] for i in range(0, len(p) - 2, 3)]
     if sum(w in head for w in words) < 0.4 * len(words):
         return False
     t = _plain(_MARKUP.sub("", t))
