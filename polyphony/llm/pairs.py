@@ -78,6 +78,7 @@ _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+|\n+|\.{3,}")
 _MARKUP = re.compile(r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]|^\s*(?:[-•·]|\d+[.)])\s+", re.M)
 _NOT_WORD = re.compile(r"[\W_]+")
+_LEAD = re.compile(r"[\W_]*")
 _EDGES = re.compile(r"^[\s\W]+|[\s\W]+$")
 _GOES_ON = re.compile(r"[ ,]{0,2}\w")
 _LABEL = re.compile(r"^\s*(?:q|question|prompt|user|human|frage|pregunta|domanda|вопрос|pytanie)\s*[:：]\s*", re.I)
@@ -132,21 +133,11 @@ def _plain(text: str) -> str:
     return _NOT_WORD.sub("", unicodedata.normalize("NFKC", _LABEL.sub("", text)).lower())
 
 
-def _plain_head(text: str, least: int) -> str:
-    """The plain form of the beginning of ``text``, of ``least`` characters or more if there are as many."""
-    size = 2 * least + 64
-    while True:
-        t = _plain(_MARKUP.sub("", text[:size]))
-        if len(t) >= least or size >= len(text):
-            return t
-        size *= 2
-
-
 @lru_cache(10_000)
 def _prompt(prompt: str) -> tuple[str, list[str]]:
     """The plain form of a prompt and its words, or pieces of three letters where it is not written with blanks."""
     p = _plain(prompt)
-    words = [w for x in prompt.split() if (w := _plain(x))]
+    words = re.findall(r"\w+", unicodedata.normalize("NFKC", prompt).lower())
     return p, words if len(words) >= 4 else [p[i : i + 3] for i in range(0, len(p) - 2, 3)]
 
 
@@ -162,7 +153,8 @@ def is_copy(text: str, prompt: str | None) -> bool:
         return False
     t = truncation.without_thought(text)
     # Whatever its length, a copy has most words of the prompt in its beginning; few other texts do.
-    head = _plain_head(t, len(p) + len(p) // 2 + 8)
+    start = _LEAD.match(t).end()
+    head = unicodedata.normalize("NFKC", t[start : start + 3 * len(prompt) + 64]).lower()
     if sum(w in head for w in words) < 0.4 * len(words):
         return False
     t = _plain(_MARKUP.sub("", t))
