@@ -65,17 +65,30 @@ def stars(p: Column) -> Column:
 
 def backend_of(model: Column) -> Column:
     """Provider by the prefix of the model name."""
-    return F.when(model.startswith("gpt"), "openai").when(model.startswith("claude"), "anthropic").when(model.startswith("gemini"), "gemini").otherwise("vllm")
+    return F.when(model.rlike("^(gpt|o1|o3|o4)-"), "openai").when(model.startswith("claude-"), "anthropic").when(model.startswith("gemini-"), "gemini").otherwise("vllm")
 
 
 # Labels of a language identifier that count as each language, the first being its primary one.
 LABELS = {
-    "ca": "cat_Latn", "de": "deu_Latn gsw_Latn", "en": "eng_Latn", "es": "spa_Latn", "eu": "eus_Latn", "fr": "fra_Latn", "it": "ita_Latn",
-    "ja": "jpn_Jpan und_Hira", "pl": "pol_Latn", "pt-BR": "por_Latn", "ru": "rus_Cyrl", "vi": "vie_Latn", "zh": "cmn_Hani wuu_Hani yue_Hani",
+    "ca": ["cat_Latn"],
+    "de": ["deu_Latn", "gsw_Latn"],
+    "en": ["eng_Latn"],
+    "es": ["spa_Latn"],
+    "eu": ["eus_Latn"],
+    "fr": ["fra_Latn"],
+    "it": ["ita_Latn"],
+    "ja": ["jpn_Jpan", "und_Hira"],
+    "pl": ["pol_Latn"],
+    "pt-BR": ["por_Latn"],
+    "ru": ["rus_Cyrl"],
+    "vi": ["vie_Latn"],
+    "zh": ["cmn_Hani", "wuu_Hani", "yue_Hani"],
 }
 # Names of number formats and accelerators in reports.
 PRECISION = {"bfloat16": "bf16", "float16": "fp16"}
 ACCELERATOR = {"A40": "A40 48 GB", "A100fat": "A100 80 GB"}
+# What stands for the revision of a model that is not open, and of one without a commit in time.
+GATED, NO_COMMIT = "gated", "---"
 
 
 def _lookup(c: Column, table: dict[str, str], other: Column) -> Column:
@@ -84,12 +97,12 @@ def _lookup(c: Column, table: dict[str, str], other: Column) -> Column:
 
 def primary_label(language: Column) -> Column:
     """The identifier's label of a language, NULL for one outside the table."""
-    return _lookup(language, {k: v.split()[0] for k, v in LABELS.items()}, F.lit(None))
+    return _lookup(language, {k: v[0] for k, v in LABELS.items()}, F.lit(None))
 
 
 def label_matches(language: Column, label: Column) -> Column:
     """Whether a predicted label counts as the language; false where either is missing."""
-    pairs = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.array(*(F.lit(y) for y in v.split())))))
+    pairs = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.array(*(F.lit(y) for y in v)))))
     return F.coalesce(F.array_contains(F.try_element_at(pairs, language), label), F.lit(False))
 
 
@@ -106,7 +119,7 @@ def accelerator(gpus: Column) -> Column:
 def revision_before(commits: Column, cutoff: str) -> Column:
     """First 8 characters of the newest commit up to a date; commits: array of structs date, sha, newest first."""
     ok = F.filter(commits, lambda x: F.substring(x["date"], 1, 10) <= cutoff)
-    return F.when(commits.isNull(), "gated").otherwise(F.coalesce(F.substring(F.try_element_at(ok, F.lit(1))["sha"], 1, 8), F.lit("---")))
+    return F.when(commits.isNull(), GATED).otherwise(F.coalesce(F.substring(F.try_element_at(ok, F.lit(1))["sha"], 1, 8), F.lit(NO_COMMIT)))
 
 
 def preview(c: Column, chars: int = 400, width: int = 80) -> Column:

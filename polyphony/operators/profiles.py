@@ -17,15 +17,16 @@ def share(c: Column) -> Column:
 
 
 def generation_profile(gen: DataFrame) -> DataFrame:
-    """model, mean_chars, trunc_pct, think_share, n_empty, dangling_think; NULL text counts as empty."""
+    """model, mean_chars, trunc_pct, think_share, n_empty, dangling_think; NULL text counts as empty.
+
+    dangling_think: texts of which nothing is left without reasoning blocks, an unclosed one reaching to the end."""
     t = F.coalesce("text", F.lit(""))
-    opened, closed = t.contains("<think>"), t.contains("</think>")
     return gen.groupBy("model").agg(
         F.avg(F.length(t)).alias("mean_chars"),
         (100 * share(F.coalesce(F.lower("finish_reason") == "length", F.lit(False)))).alias("trunc_pct"),
-        share(opened).alias("think_share"),
+        share(t.contains("<think>")).alias("think_share"),
         F.sum((T.strip(t) == "").cast("long")).alias("n_empty"),
-        F.sum((opened & ~closed).cast("long")).alias("dangling_think"),
+        F.sum((F.length(T.strip_think(t)) == 0).cast("long")).alias("dangling_think"),
     )
 
 

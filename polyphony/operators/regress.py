@@ -27,12 +27,8 @@ def spearman_p(rho: pd.Series, n: pd.Series) -> np.ndarray:
 
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """var_a, var_b, rho, pairwise complete, for var_a <= var_b in the given order."""
-    out = None
-    for a, b in combinations_with_replacement(cols, 2):
-        x = df.select(F.col(a).alias("x"), F.col(b).alias("y"))
-        one = spearman(x, "x", "y", least=2).select(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), "rho")
-        out = one if out is None else out.union(one)
-    return out
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations_with_replacement(cols, 2))))
+    return spearman(df.select(pairs.alias("z")).select("z.*"), "x", "y", "var_a", "var_b", least=2).drop("n")
 
 
 def zscore(c: str, *by: str) -> Column:
@@ -46,6 +42,50 @@ def linear_fit(df: DataFrame, y: str, x: str, *by: str) -> DataFrame:
     return ok.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
 
 
+def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """term, n, coef, se, t, p of y on the z-scored predictors, with an intercept, over complete rows.
+
+    One aggregation to moments, whatever the number of rows; no row comes out where there are no degrees of freedom
+    or the predictors are dependent."""
+    cols = [y, *xs]
+    ok = df.dropna(subset=cols).select(*(F.col(c).cast("double").alias(c) for c in cols))
+    agg = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), *(F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j)]
+
+    def solve(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                n, k = int(r.n), len(xs)
+                c = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
+                if n - k - 1 < 1 or not np.isfinite(c).all() or (np.diag(c)[1:] <= 0).any():
+                    continue
+                sd = np.sqrt(np.diag(c)[1:])
+                corr, by = c[1:, 1:] / np.outer(sd, sd), c[1:, 0] / sd
+                if np.linalg.cond(corr) > 1e12:
+                    continue
+                inv = np.linalg.inv(corr)
+                b = inv @ by
+                s2 = max((n - 1) * (c[0, 0] - by @ b), 0.0) / (n - k - 1)
+                coef, se = np.r_[r.m, b], np.sqrt(s2 * np.r_[1 / n, np.diag(inv) / (n - 1)])
+                t = np.divide(coef, se, out=np.full(k + 1, np.nan), where=se > 0)
+                p = t_two_sided(t, np.full(k + 1, float(n - k - 1)))
+                yield pd.DataFrame({"term": ["intercept", *xs], "n": n, "coef": coef, "se": se, "t": t, "p": p})
+
+    return ok.agg(*agg).mapInPandas(solve, "term string, n long, coef double, se double, t double, p double")
+
+
+def correlations(df: DataFrame, xs: list[str], ys: list[str], least: int = 4) -> DataFrame:
+    """predictor, outcome, n, rho, p: rank correlation of each predictor with each outcome over pairwise complete rows, in one pass."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("predictor"), F.lit(b).alias("outcome"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a in xs for b in ys)))
+    long = df.select(pairs.alias("z")).select("z.*")
+    rho = spearman(long, "x", "y", "predictor", "outcome", least=least)
+
+    def tail(batches):
+        for pdf in batches:
+            yield pdf.assign(p=spearman_p(pdf.rho, pdf.n))
+
+    return rho.mapInPandas(tail, "predictor string, outcome string, n long, rho double, p double")
+
+
 def _profile(theta, y, x, groups, reml=True):
     """-2 log restricted likelihood at variance ratios theta, with the fixed part and scale profiled out."""
     v = np.eye(len(y))

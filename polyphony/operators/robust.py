@@ -61,8 +61,10 @@ def effect_order(df: DataFrame, by: str, value: str) -> Column:
 
 
 def latex_table(df: DataFrame, caption: str, label: str, digits: int = 3) -> str:
-    """A LaTeX table of a small result."""
-    rows = df.limit(10_000).collect()
+    """A LaTeX table of a small result; more than 10,000 rows are no table and raise."""
+    rows = df.limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("a LaTeX table has at most 10,000 rows")
     cell = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("%", r"\%")
     body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\"

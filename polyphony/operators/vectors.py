@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +23,52 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cell_sums(vectors: DataFrame, keys: tuple[str, ...] = CELL, e: str = "e") -> DataFrame:
-    """keys, n, s: number of vectors and their sum.  One shuffle of partial sums by (cell, position).
-
-    Rows with a NULL key or vector are left out; a NULL component counts as 0."""
-    ok = vectors.dropna(subset=[*keys, e])
-    flat = ok.select(*keys, F.posexplode(F.col(e).cast("array<double>")).alias("pos", "v"))
-    part = flat.groupBy(*keys, "pos").agg(F.sum(F.coalesce("v", F.lit(0.0))).alias("v"), F.count(F.lit(1)).alias("n"))
-    out = part.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
-    return out.select(*keys, "n", F.col("p.v").alias("s"))
+    """keys, n, s: number of vectors and their sum.  Vectors are summed within each Arrow batch, and the sums, one array
+    a cell and batch, are shuffled once; no task holds more than a batch and one open cell.
+
+    Rows with a NULL key or vector are left out; a NULL component counts as 0, and so do those that a shorter vector lacks."""
+    ok = vectors.dropna(subset=[*keys, e]).select(*keys, F.lit(1).cast("long").alias("n"), F.col(e).cast("array<double>").alias("s"))
+    part = ok.mapInArrow(_batch_sums, ok.schema)
+    return part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_run_sums, ok.schema)
+
+
+def _sums(batch: pa.RecordBatch) -> pa.Table:
+    """Keys, n and s of a batch, summed over runs of equal keys in the order in which these come first."""
+    k = batch.num_columns - 2
+    codes = np.stack([batch.column(i).dictionary_encode().indices.to_numpy() for i in range(k)], 1)
+    size = pc.list_value_length(batch.column(k + 1)).to_numpy()
+    flat = batch.column(k + 1).flatten().fill_null(0.0).to_numpy()
+    m = np.zeros((len(size), int(size.max(initial=0))))
+    m[np.arange(m.shape[1])[None, :] < size[:, None]] = flat
+    order = np.lexsort(codes.T[::-1])
+    first = np.flatnonzero(np.r_[True, (codes[order][1:] != codes[order][:-1]).any(1)])
+    s, n = np.add.reduceat(m[order], first, 0), np.add.reduceat(batch.column(k).to_numpy()[order], first)
+    keys = [batch.column(i).take(pa.array(order[first])) for i in range(k)]
+    wide = np.maximum.reduceat(size[order], first)
+    values = s[np.arange(s.shape[1])[None, :] < wide[:, None]]
+    return pa.Table.from_arrays([*keys, pa.array(n), pa.ListArray.from_arrays(np.r_[0, np.cumsum(wide)].astype(np.int32), pa.array(values))], batch.schema.names)
+
+
+def _batch_sums(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield from _sums(batch).to_batches()
+
+
+def _run_sums(batches):
+    """Batches sorted by the keys: the last cell of a batch stays open, as the next one may go on with it."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = _sums(pa.concat_tables([held, t.cast(held.schema)] if held is not None else [t]).combine_chunks().to_batches()[0])
+        at = pa.Table.from_batches([batch]).slice(batch.num_rows - 1).select(range(batch.num_columns - 2)).to_pylist()[0]
+        last = np.array([all(r[c] == v for c, v in at.items()) for r in t.select(list(at)).to_pylist()])
+        held = t.filter(pa.array(last))
+        yield from t.filter(pa.array(~last)).to_batches()
+    if held is not None:
+        yield from held.to_batches()
 
 
 def intra(cells: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:

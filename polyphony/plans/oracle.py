@@ -156,6 +156,7 @@ def _spear(src: str, x: str, y: str) -> str:
 
 
 _SV = ["fertility", "lid_match_rate", "log_size"]
+_PR = [*_SV, "ttr"]
 POOL = """msg AS (SELECT * FROM messages WHERE NOT coalesce(deleted, FALSE) AND coalesce(review_result, FALSE) QUALIFY row_number() OVER (PARTITION BY message_id) = 1),
 ans AS (SELECT parent_id, count(*) AS n, string_agg(coalesce(text, '<null>'), chr(10) || '--' || chr(10) ORDER BY message_id) AS answers FROM msg WHERE role = 'assistant' GROUP BY parent_id),
 pool AS (SELECT r.message_id AS prompt_id, r.lang AS language, r.text AS prompt_text, coalesce(a.n, 0) AS n_responses, a.answers FROM msg r LEFT JOIN ans a ON r.message_id = a.parent_id WHERE r.role = 'prompter' AND r.parent_id IS NULL)"""
@@ -223,7 +224,7 @@ SELECT level, grp, lang, count(*) AS n_nonzero, round(sum(CASE WHEN gap > 0 THEN
     stripped = _strip("regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', '', 'g')")
     q["think_strip"] = f"WITH {GEN}, t AS (SELECT gen_id, coalesce(text, '') AS raw FROM gen), s AS (SELECT gen_id, raw, CASE WHEN raw = '' THEN raw ELSE {stripped} END AS stripped FROM t) SELECT gen_id, stripped, raw <> stripped AS had_think, length(stripped) = 0 AS empty_after_strip FROM s"
     q["gen_profile"] = f"""WITH {GEN}, t AS (SELECT model, coalesce(text, '') AS t, coalesce(lower(finish_reason) = 'length', FALSE) AS cut FROM gen) SELECT model, round(avg(length(t)), 6) AS mean_chars, round(100 * avg(cut::INT), 6) AS trunc_pct, round(avg(contains(t, '<think>')::INT), 6) AS think_share,
- count(*) FILTER (WHERE {_strip("t")} = '') AS n_empty, count(*) FILTER (WHERE contains(t, '<think>') AND NOT contains(t, '</think>')) AS dangling_think FROM t GROUP BY model"""
+ count(*) FILTER (WHERE {_strip("t")} = '') AS n_empty, count(*) FILTER (WHERE CASE WHEN t = '' THEN TRUE ELSE length({stripped.replace('(raw,', '(t,')}) = 0 END) AS dangling_think FROM t GROUP BY model"""
     q["empty_dropped"] = f"WITH {GEN}, t AS (SELECT model, {_strip(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} = '' AS blank FROM gen) SELECT model, count(*) FILTER (WHERE NOT blank) AS kept, count(*) FILTER (WHERE blank) AS dropped FROM t GROUP BY model"
     q["fluency_summary"] = f"WITH {GEN}, {SCORES} {_FLUOUT}"
     q["fluent_cells"] = f"WITH {GEN}, {SCORES} {_FLUOUT} WHERE match_rate >= 0.8 AND language IS NOT NULL"
@@ -250,13 +251,30 @@ SELECT al.metric, n_cells, round(llm_intra, 6) AS llm_intra, round(human_intra,
     q["robustness_by_language"] = f"WITH {_METRICS} SELECT language, round(avg(gap) FILTER (WHERE metric = 'whole'), 6) AS whole, round(avg(gap) FILTER (WHERE metric = 'half'), 6) AS half FROM met GROUP BY language"
     q["metric_agreement"] = f"WITH {_METRICS} SELECT a.model, a.language, round(a.gap, 6) AS gap_primary, round(b.gap, 6) AS gap_other, sign(a.gap) = sign(b.gap) AS agree FROM met a JOIN met b ON a.model = b.model AND a.language = b.language AND a.metric = 'whole' AND b.metric = 'half'"
     q["model_labels"] = f"""WITH {DIM} SELECT model, replace(model, '/', '_') AS slug, split_part(gpus, ':', 2) || ' x ' || CASE split_part(gpus, ':', 1) WHEN 'A40' THEN 'A40 48 GB' WHEN 'A100fat' THEN 'A100 80 GB' ELSE split_part(gpus, ':', 1) END AS gpus,
- CASE WHEN starts_with(model, 'gpt') THEN 'openai' WHEN starts_with(model, 'claude') THEN 'anthropic' WHEN starts_with(model, 'gemini') THEN 'gemini' ELSE 'vllm' END AS backend FROM dim"""
-    labels = " ".join(f"WHEN '{k}' THEN '{v.split()[0]}'" for k, v in LABELS.items())
+ CASE WHEN starts_with(model, 'gpt-') OR starts_with(model, 'o1-') OR starts_with(model, 'o3-') OR starts_with(model, 'o4-') THEN 'openai' WHEN starts_with(model, 'claude-') THEN 'anthropic' WHEN starts_with(model, 'gemini-') THEN 'gemini' ELSE 'vllm' END AS backend FROM dim"""
+    labels = " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in LABELS.items())
     q["language_labels"] = f"WITH {GEN} SELECT language, CASE language {labels} END AS label, count(*) AS n, coalesce(list_position({_ORD}, language), 0) AS place FROM gen GROUP BY language"
     q["cell_previews"] = f"WITH {GEN}, {PROMPTS} SELECT g.prompt_id, coalesce(substring(p.prompt_text, 1, 40), '') AS preview, count(*) AS n FROM gen g LEFT JOIN p1 p ON g.prompt_id = p.prompt_id GROUP BY 1, 2"
     q["family_json"] = f"WITH {FAM} SELECT family AS key, '{{\"family\":\"' || family || '\",\"n_models\":' || count(*) || '}}' AS json FROM fam GROUP BY family"
-    q["recompute_check"] = f"WITH {VEC}, {_cells()}, {INTER_ALL} SELECT count(DISTINCT (model_a, model_b)) AS n, TRUE AS same, count(*) AS n_cells FROM inter_all"
-    q["source_discovery"] = f"WITH {VEC}, f AS (SELECT DISTINCT CASE WHEN model = 'Human' THEN 'human_intra' ELSE 'intra' END AS kind, prompt_id AS slug FROM vec) SELECT kind, slug FROM f WHERE kind <> 'intra' OR slug IN (SELECT slug FROM f WHERE kind = 'human_intra')"
+    q["recompute_check"] = f"""WITH {VEC}, {_cells()}, {INTER_ALL}, a AS (SELECT model_a, model_b, avg(inter_sim) AS v FROM inter_all GROUP BY ALL), l AS (SELECT model_a, model_b, language, sum(inter_sim) AS s, count(inter_sim) AS k FROM inter_all GROUP BY ALL),
+ b AS (SELECT model_a, model_b, sum(s) / sum(k) AS u FROM l GROUP BY ALL) SELECT count(*) AS n, max(abs(v - u)) < 1e-9 AS same FROM a JOIN b USING (model_a, model_b)"""
+    q["source_discovery"] = "SELECT kind, slug FROM (VALUES ('intra', 'whole'), ('human_intra', 'whole'), ('inter', 'whole')) AS f(kind, slug)"
+    q["pair_summary"] = f"WITH {VEC}, {_cells()}, {INTER_ALL} SELECT model_a, model_b, count(inter_sim) AS n_cells, round(avg(inter_sim), 6) AS mean_sim, round(stddev_samp(inter_sim), 6) AS std_sim FROM inter_all GROUP BY ALL"
+    by = "bl AS (SELECT language, avg(gap) AS gap, avg(llm_intra) AS llm_intra, avg(human_intra) AS human_intra, " + ", ".join(f"avg({p}) AS {p}" for p in _PR) + " FROM ling GROUP BY language)"
+    rho = lambda src, p, y, **lit: "SELECT " + "".join(f"'{v}' AS {k}, " for k, v in lit.items()) + f"n, round(rho, 6) AS rho FROM ({_spear(src, p, y)})"
+    q["predictor_correlations"] = f"WITH {_LING}, {by} " + " UNION ALL ".join(rho(src, p, "gap", level=lv, predictor=p) + " WHERE n >= 4" for lv, src in (("cell", "ling"), ("language", "bl")) for p in _PR)
+    q["gap_decomposition"] = f"WITH {_LING}, {by} " + " UNION ALL ".join(rho("bl", p, y, predictor=p, outcome=y) + " WHERE n >= 2" for p in _PR for y in ("gap", "llm_intra", "human_intra"))
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z{i}" for i, c in enumerate(_SV))
+    s_ = ", ".join(f"sum(z{i} * z{j}) AS s{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(z{i} * y) AS r{i}" for i in range(3))
+    # The inverse of the symmetric 3 x 3 matrix of the predictors by its cofactors.
+    q["placebo_all"] = f"""WITH {_LING}, {by}, c AS (SELECT human_intra AS y, {", ".join(_SV)} FROM bl WHERE human_intra IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in _SV)}), z AS (SELECT y, {z} FROM c),
+m AS (SELECT count(*) AS n, avg(y) AS my, sum(y * y) AS yy, {s_} FROM z),
+f AS (SELECT *, s11 * s22 - s12 * s12 AS a00, s02 * s12 - s01 * s22 AS a01, s01 * s12 - s02 * s11 AS a02, s00 * s22 - s02 * s02 AS a11, s01 * s02 - s00 * s12 AS a12, s00 * s11 - s01 * s01 AS a22 FROM m),
+g AS (SELECT *, s00 * a00 + s01 * a01 + s02 * a02 AS det FROM f),
+b AS (SELECT *, (a00 * r0 + a01 * r1 + a02 * r2) / det AS b0, (a01 * r0 + a11 * r1 + a12 * r2) / det AS b1, (a02 * r0 + a12 * r1 + a22 * r2) / det AS b2 FROM g),
+e AS (SELECT *, (yy - n * my * my - b0 * r0 - b1 * r1 - b2 * r2) / (n - 4) AS s2 FROM b),
+t AS (SELECT 'intercept' AS term, n, my AS coef, sqrt(s2 / n) AS se FROM e UNION ALL SELECT '{_SV[0]}', n, b0, sqrt(s2 * a00 / det) FROM e UNION ALL SELECT '{_SV[1]}', n, b1, sqrt(s2 * a11 / det) FROM e UNION ALL SELECT '{_SV[2]}', n, b2, sqrt(s2 * a22 / det) FROM e)
+SELECT term, n, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 6) AS t FROM t WHERE n > 4"""
     q["effect_order"] = f"""WITH {COS}, a AS (SELECT model, language, avg(intra_sim) AS l FROM intra GROUP BY ALL), h AS (SELECT language, avg(intra_sim) AS h FROM human GROUP BY ALL), g AS (SELECT a.model, a.language, l - h AS gap FROM a JOIN h ON a.language = h.language), m AS (SELECT *, avg(gap) OVER (PARTITION BY language) AS lm FROM g)
 SELECT model, language, round(gap, 6) AS gap, dense_rank() OVER (ORDER BY lm DESC) AS place FROM m"""
     q["model_lookup"] = f"WITH {GEN}, {DIM} SELECT coalesce(d.display_name, g.model) AS name, coalesce(d.family, 'Other') AS family, count(*) AS n FROM gen g LEFT JOIN dim d ON g.model = d.model GROUP BY 1, 2"

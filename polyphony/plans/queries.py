@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from polyphony.functions import text as T
 from polyphony.operators import levels, lexical, profiles, prompts, regress, resample, robust, vectors
 from polyphony.plans import views as V
+from polyphony.session import materialise, shared_dir
 from polyphony.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +38,12 @@ def model_summary(spark, d):
     return rounded(i.groupBy("model").agg(F.count("intra_sim").alias("n_cells"), F.avg("intra_sim").alias("mean_sim"), F.stddev_samp("intra_sim").alias("std_sim")))
 
 
+@query
+def pair_summary(spark, d):
+    i = vectors.inter(V.vector_cells(spark, d))
+    return rounded(i.groupBy("model_a", "model_b").agg(F.count("inter_sim").alias("n_cells"), F.avg("inter_sim").alias("mean_sim"), F.stddev_samp("inter_sim").alias("std_sim")))
+
+
 @query
 def inter_cosine(spark, d):
     return rounded(vectors.inter(V.vector_cells(spark, d)))
@@ -349,7 +357,7 @@ def _linguistic(spark, d):
     size = g.groupBy("language").agg(F.log10(F.count(F.lit(1))).alias("log_size"))
     mor = profiles.morphology(prompts.first_per_prompt(V.human_prompts(spark, d)).select("language", F.col("prompt_text").alias("text")))
     x = gap.join(tok, ["model", "language"], "left").join(flu, ["model", "language"], "left").join(size, "language", "left").join(mor, "language", "left")
-    return levels.with_family(x, V.models(spark, d).select("model", "family"))
+    return materialise(levels.with_family(x, V.models(spark, d).select("model", "family")), "linguistic")  # a row a cell, read by several specifications
 
 
 _LING = ["llm_intra", "human_intra", "gap", "fertility", "lid_match_rate", "log_size", "ttr", "mean_word_len"]
@@ -376,6 +384,48 @@ def spearman_matrix(spark, d):
     return rounded(regress.spearman_matrix(_linguistic(spark, d), ["fertility", "lid_match_rate", "log_size"]))
 
 
+_PREDICTORS = ["fertility", "lid_match_rate", "log_size", "ttr"]
+
+
+def _by_language(x: DataFrame) -> DataFrame:
+    return x.groupBy("language").agg(*(F.avg(c).alias(c) for c in ("gap", "llm_intra", "human_intra", *_PREDICTORS)))
+
+
+def _predictor_correlations(spark, d):
+    x = _linguistic(spark, d)
+    cell = regress.correlations(x, _PREDICTORS, ["gap"]).withColumn("level", F.lit("cell"))
+    return cell.unionByName(regress.correlations(_by_language(x), _PREDICTORS, ["gap"]).withColumn("level", F.lit("language")))
+
+
+@query
+def predictor_correlations(spark, d):
+    return rounded(_predictor_correlations(spark, d).select("level", "predictor", "n", "rho"))
+
+
+@query
+def predictor_correlations_p(spark, d):
+    return rounded(_predictor_correlations(spark, d))
+
+
+@query
+def gap_decomposition(spark, d):
+    return rounded(regress.correlations(_by_language(_linguistic(spark, d)), _PREDICTORS, ["gap", "llm_intra", "human_intra"], least=2).select("predictor", "outcome", "n", "rho"))
+
+
+def _placebo(spark, d):
+    return regress.ols(_by_language(_linguistic(spark, d)), "human_intra", ["fertility", "lid_match_rate", "log_size"])
+
+
+@query
+def placebo_all(spark, d):
+    return rounded(_placebo(spark, d).drop("p"))
+
+
+@query
+def placebo_all_p(spark, d):
+    return rounded(_placebo(spark, d))
+
+
 @query
 def linreg_fit(spark, d):
     return rounded(regress.linear_fit(_linguistic(spark, d), "gap", "log_size"))
@@ -479,20 +529,23 @@ def metric_agreement(spark, d):
 
 @query
 def recompute_check(spark, d):
-    """The mean similarity of each model pair, taken at once and from sums by language: both must agree."""
+    """The mean similarity of each model pair as stored, against its recomputation from sums by language."""
     i = vectors.inter(V.vector_cells(spark, d))
-    m = i.groupBy("model_a", "model_b").agg(F.avg("inter_sim").alias("v"))
-    w = i.groupBy("model_a", "model_b", "language").agg(F.sum("inter_sim").alias("s"), F.count(F.lit(1)).alias("k"))
-    w = w.groupBy("model_a", "model_b").agg((F.sum("s") / F.sum("k")).alias("u"), F.sum("k").alias("k"))
-    j = m.join(w, ["model_a", "model_b"])
-    return j.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("v") - F.col("u"))) < 1e-9).alias("same"), F.sum("k").alias("n_cells"))
+    stored = materialise(i.groupBy("model_a", "model_b").agg(F.avg("inter_sim").alias("v")), "pair-means")
+    again = i.groupBy("model_a", "model_b", "language").agg(F.sum("inter_sim").alias("s"), F.count(F.lit(1)).alias("k"))
+    again = again.groupBy("model_a", "model_b").agg((F.sum("s") / F.sum("k")).alias("v"))
+    got = robust.max_difference(stored, again, ["model_a", "model_b"], "v")
+    return got.select("n", (F.col("max_diff") < 1e-9).alias("same"))
 
 
 @query
 def source_discovery(spark, d):
-    """Metric slugs with a human twin, from kinds and slugs found in the data."""
-    v = V.vector_rows(spark, d).select(F.when(F.col("model") == "Human", "human_intra").otherwise("intra").alias("kind"), F.col("prompt_id").alias("slug")).distinct()
-    return io.with_twin(v)
+    """Metric slugs with a human twin, from the names of files written for two metric spaces, one of them without its twin."""
+    i, h, x = V.cosine(spark, d)
+    at = f"{shared_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    for name, t in (("intra__whole", i), ("human_intra__whole", h), ("inter__whole", x), ("intra__other", i)):
+        t.write.parquet(f"{at}/{name}.parquet")
+    return io.metric_sources(spark, f"{at}/*/*.parquet")
 
 
 @query
@@ -506,7 +559,7 @@ def effect_order(spark, d):
 def model_lookup(spark, d):
     g = V.generations(spark, d, "gen_id", "model")
     m = V.models(spark, d)
-    j = levels.with_family(g, m.select("model", "family")).join(F.broadcast(m.select("model", "display_name")), "model", "left")
+    j = levels.with_family(g, m.select("model", "family")).join(m.select("model", "display_name"), "model", "left")
     return j.groupBy(F.coalesce("display_name", "model").alias("name"), "family").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -12,7 +12,9 @@ from polyphony.sources.io import table
 
 def generations(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """One row per record; language is the label's base language."""
-    r = table(spark, d, "responses").dropDuplicates(["gen_id"])
+    r = table(spark, d, "responses")
+    first = F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp_ntz" if dict(r.dtypes)["ingested_at"] == "timestamp_ntz" else "timestamp"))
+    r = r.groupBy("gen_id").agg(*(F.min_by(c, first).alias(c) for c in r.columns if c != "gen_id"))  # the first delivery; columns not asked for are pruned
     g = r.select("gen_id", "model", "dataset", base_language(F.col("language")).alias("language"), "prompt_id", "sample_idx", F.col("response_text").alias("text"), "n_tokens", "finish_reason")
     return g.select(*columns) if columns else g
 

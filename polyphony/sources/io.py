@@ -88,7 +88,7 @@ def fingerprint(spark: SparkSession, pattern: str) -> str:
 
 def metric_sources(spark: SparkSession, pattern: str) -> DataFrame:
     """kind (intra, human_intra, inter), slug of files named kind__slug.parquet; an intra metric needs its human twin."""
-    f = spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", r"([^/]*)\.parquet$", 1).alias("stem"))
+    f = spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", r"/([^/]*__[^/]*)\.parquet(?:/[^/]*)?$", 1).alias("stem")).where("stem <> ''").distinct()
     f = f.select(F.split_part("stem", F.lit("__"), F.lit(1)).alias("kind"), F.split_part("stem", F.lit("__"), F.lit(2)).alias("slug"))
     return with_twin(f)
 

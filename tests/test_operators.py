@@ -127,7 +127,7 @@ def test_words_and_labels(spark):
     assert one(spark, "Don't — STOP, now!  ", T.words) == ["dont", "stop", "now"]
     assert one(spark, "a/b", lambda c: T.slug(c, 500, 10)) == "a_b_trunc500_s10"
     assert one(spark, "Z", lambda c: T.pair_label(c, F.lit("A"))) == "A || Z"
-    assert one(spark, "claude-x", T.backend_of) == "anthropic"
+    assert one(spark, "claude-x", T.backend_of) == "anthropic" and one(spark, "o3-mini", T.backend_of) == "openai" and one(spark, "o1x", T.backend_of) == "vllm"
     assert [one(spark, p, T.stars, "double") for p in (0.0005, 0.005, 0.04, 0.2)] == ["***", "**", "*", ""]
 
 
@@ -348,3 +348,60 @@ def test_max_difference(spark):
     r = robust.max_difference(a, b, ["k"], "v").first()
     assert (r.n, r.max_diff) == (2, 0.5)
     assert robust.max_difference(a, b.limit(0), ["k"], "v").first().n == 0
+
+
+def test_ols_against_least_squares(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(30, 2)) * [3, 0.1] + [5, -1]
+    y = 2 + x @ [0.4, -3] + rng.normal(size=30) * 0.3
+    rows = [(float(a), float(b), float(c), "k") for (a, b), c in zip(x, y, strict=True)] + [(None, 1.0, 2.0, "k")]
+    got = {r.term: r for r in regress.ols(spark.createDataFrame(rows, "a double, b double, y double, n string"), "y", ["a", "b"]).collect()}
+    z = np.c_[np.ones(30), (x - x.mean(0)) / x.std(0, ddof=1)]
+    beta = np.linalg.lstsq(z, y, rcond=None)[0]
+    s2 = ((y - z @ beta) ** 2).sum() / 27
+    se = np.sqrt(np.diag(np.linalg.inv(z.T @ z)) * s2)
+    for i, t in enumerate(("intercept", "a", "b")):
+        assert got[t].n == 30 and got[t].coef == pytest.approx(beta[i]) and got[t].se == pytest.approx(se[i]) and 0 <= got[t].p <= 1
+    one = spark.createDataFrame(rows[:3] + rows[:3], "a double, b double, y double, n string")
+    assert regress.ols(one.limit(0), "y", ["a"]).count() == 0 and regress.ols(one.limit(2), "y", ["a"]).count() == 0
+    assert regress.ols(one.select("y", "a", (one.a * 2).alias("b")), "y", ["a", "b"]).count() == 0
+
+
+def test_rank_correlations_with_p(spark):
+    rows = [(float(i), float((i * 7) % 10), float(-i), None if i == 3 else float(i * i)) for i in range(10)]
+    got = {(r.predictor, r.outcome): r for r in regress.correlations(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b"], ["c", "d"]).collect()}
+    assert got["a", "c"].rho == pytest.approx(-1) and got["a", "c"].p == pytest.approx(0, abs=1e-9) and got["a", "d"].n == 9 and got["a", "d"].rho == pytest.approx(1)
+    rho, n = got["b", "c"].rho, 10
+    t = rho * math.sqrt((n - 2) / (1 - rho * rho))
+    grid = np.linspace(-abs(t), abs(t), 200_001)
+    density = math.gamma(4.5) / (math.sqrt(8 * math.pi) * math.gamma(4)) * (1 + grid**2 / 8) ** -4.5
+    assert got["b", "c"].p == pytest.approx(1 - np.trapezoid(density, grid), abs=1e-6)
+
+
+def test_cell_sums_over_batches_and_lengths(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [("m%d" % (i % 2), "l", "p%d" % (i % 3), [1.0 * i, None if i == 4 else 2.0] + ([5.0] if i == 6 else [])) for i in range(40)]
+    schema = "model string, language string, prompt_id string, e array<double>"
+    got = {(r.model, r.prompt_id): (r.n, list(r.s)) for r in vectors.cell_sums(spark.createDataFrame([*rows, ("m0", None, "p0", [1.0]), ("m0", "l", "p0", None)], schema)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for m, _, p, e in rows:
+        n, s = want.get((m, p), (0, [0.0, 0.0]))
+        s = s + [0.0] * (len(e) - len(s))
+        want[m, p] = (n + 1, [a + (e[j] or 0 if j < len(e) else 0) for j, a in enumerate(s)])
+    assert got == want
+
+
+def test_latex_of_too_many_rows_raises(spark):
+    with pytest.raises(ValueError):
+        robust.latex_table(spark.range(10_001), "c", "l")
+
+
+def test_first_delivery_wins(spark, tmp_path):
+    from polyphony.plans import views
+
+    rows = [(1, "m", "d", "en", "p", 0, "later", 1, "stop", "2024-01-02"), (1, "m", "d", "en", "p", 0, "first", 1, "stop", "2024-01-01"), (2, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "gen_id long, model string, dataset string, language string, prompt_id string, sample_idx int, response_text string, n_tokens int, finish_reason string, at string")
+    df.selectExpr("*", "cast(at as timestamp) as ingested_at").drop("at").write.parquet(f"{tmp_path}/responses.parquet")
+    assert {(r.gen_id, r.text) for r in views.generations(spark, str(tmp_path)).collect()} == {(1, "first"), (2, None)}
