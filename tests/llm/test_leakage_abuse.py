@@ -150,3 +150,41 @@ def test_slips_of_raters_do_not_teach():
     score, _ = A.assess(m, [t for t, _ in held])
     hit = sum((s >= m.threshold) == (lab != "none") for s, (_, lab) in zip(score, held, strict=True))
     assert hit >= 288
+
+
+def labelled_corpus(spark, n=600):
+    """Documents in which every third has a sentence of its own rude word; all of the first ``n`` have labels."""
+    c = bad_corpus(n + 300, 11)
+    d = spark.createDataFrame([(i, t, "s") for i, (t, _) in enumerate(c)], "doc_id long, text string, source string")
+    return c, d, spark.createDataFrame([(i, x, "r") for i, (_, x) in enumerate(c[:n])], "doc_id long, label string, rater string")
+
+
+def test_every_label_trains(spark, monkeypatch):
+    seen = []
+    fit_folds = A._fit_folds
+    monkeypatch.setattr(A, "_fit_folds", lambda rows, folds, *a: (seen.append({r.doc_id for r in rows.where("y >= 0").select("doc_id").collect()}), fit_folds(rows, folds, *a))[1])
+    _, d, lab = labelled_corpus(spark)
+    A.train(d, lab)
+    assert len(seen) == 3 and all(x == set(range(600)) for x in seen)
+    # No parameter bounds how many labels or unlabelled documents are used.
+    assert not {"max_labels", "max_clean", "negatives", "background"} & set(A.Abuse.__dataclass_fields__)
+
+
+def test_every_unlabelled_document_counts_for_the_threshold(spark, monkeypatch):
+    counted = []
+    best = A._best
+    monkeypatch.setattr(A, "_best", lambda hit, slip, rest, n_bad, n_clean, fallback: (counted.append((rest, n_bad, n_clean)), best(hit, slip, rest, n_bad, n_clean, fallback))[1])
+    c, d, lab = labelled_corpus(spark)
+    d = d.union(d.where("doc_id >= 600").selectExpr("doc_id + 10000", "text", "source")).union(d.selectExpr("doc_id + 20000", "cast(null as string)", "source"))
+    A.train(d, lab)
+    (rest, n_bad, n_clean), = counted
+    assert n_clean == sum(x == "none" for _, x in c[:600]) and n_bad <= sum(x != "none" for _, x in c[:600])
+    assert all(abs(x * 600 - round(x * 600)) < 1e-6 for x in rest)  # shares of all 600 unlabelled texts, NULL ones left out
+
+
+def test_shards_meet_after_each_epoch(spark):
+    c, d, lab = labelled_corpus(spark)
+    want = {i for i, (_, x) in enumerate(c) if x != "none"}
+    for shard_chars in (12_000_000, 40_000):
+        got = {r.doc_id for r in A.flagged(d, lab, A.Abuse(shard_chars=shard_chars)).collect()}
+        assert len(got ^ want) <= 0.05 * len(c)
