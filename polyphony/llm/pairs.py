@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -74,12 +75,17 @@ FILLERS = (
     r"もちろん(?:です)?|はい|とても良い質問ですね|良い質問ですね|こちらが回答です|お役に立てば(?:うれしい|嬉しい|幸い)です|別の質問をお願いします|申し訳ありません(?:が)?|すみません|残念ながら|ごめんなさい|.*他に.*(?:ありますか|ございますか)",
 )
 _DECLINES = [(STEMS[k], re.compile(p)) for k, p in REFUSALS.items()]
+# Of these, the stems that a sentence without letters beyond ASCII may contain.
+_DECLINES_ASCII = [(some, rx) for stems, rx in _DECLINES if (some := [x for x in stems if x.isascii()])]
 _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+|\n+|\.{3,}")
-_MARKUP = re.compile(r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]|^\s*(?:[-•·]|\d+[.)])\s+", re.M)
+_MARKS = r"[*_`#>\"“”«»„‘’「」『』()\[\]{}~|\\]"
+_POINT = r"^\s*(?:[-•·]|\d+[.)])\s+"
+_MARKUP = re.compile(f"{_MARKS}|{_POINT}", re.M)
+_MARK, _POINT = re.compile(_MARKS), re.compile(_POINT)
 _NOT_WORD = re.compile(r"[\W_]+")
 _LEAD = re.compile(r"[\W_]*")
-_EDGES = re.compile(r"^[\s\W]+|[\s\W]+$")
+_INSIDE = re.compile(r"\w(?:.*\w)?", re.S)
 _GOES_ON = re.compile(r"[ ,]{0,2}\w")
 _LABEL = re.compile(r"^\s*(?:q|question|prompt|user|human|frage|pregunta|domanda|вопрос|pytanie)\s*[:：]\s*", re.I)
 
@@ -99,7 +105,9 @@ def is_empty(text: str | None) -> bool:
 def _sentences(text: str):
     """Sentences in lower case without markup, line by line, so that a reader may stop early."""
     for line in text.splitlines():
-        line = _MARKUP.sub("", line.replace("’", "'")).lower()
+        line = line.replace("’", "'")
+        point = _POINT.match(line)  # as _MARKUP, of which the second part can only match where a line begins
+        line = _MARK.sub("", line[point.end() :] if point else line).lower()
         at = 0
         for m in _SENTENCE.finditer(line):
             yield line[at : m.start()]
@@ -108,7 +116,13 @@ def _sentences(text: str):
 
 
 def _declines(sentence: str) -> bool:
-    return any(rx.search(sentence) for stems, rx in _DECLINES if any(x in sentence for x in stems))
+    for stems, rx in _DECLINES_ASCII if sentence.isascii() else _DECLINES:
+        for x in stems:
+            if x in sentence:
+                if rx.search(sentence):
+                    return True
+                break
+    return False
 
 
 def is_refusal(text: str) -> bool:
@@ -116,13 +130,14 @@ def is_refusal(text: str) -> bool:
     t = truncation.without_thought(text).strip()
     found, other = False, 0
     for s in _sentences(t):
-        s = _EDGES.sub("", s)
-        if not s:
+        inside = _INSIDE.search(s)
+        if not inside:
             continue
+        s = inside[0]
         flat = s.replace(",", "").replace("，", "").replace("、", "")
         if _declines(s) or (flat != s and _declines(flat)):
             found = True
-        elif not _FILLER.fullmatch(flat) and not _FILLER.fullmatch(s):
+        elif not _FILLER.fullmatch(flat) and (flat == s or not _FILLER.fullmatch(s)):
             other += len(_NOT_WORD.sub("", s)) * (2 if "぀" <= s[0] <= "鿿" else 1)
             if other >= 12:
                 return False
@@ -142,8 +157,10 @@ def _prompt(prompt: str) -> tuple[str, list[str]]:
 
 
 def _nearly(p: str, t: str) -> bool:
-    m = SequenceMatcher(None, p, t, autojunk=False)
-    return m.quick_ratio() >= 0.84 and m.ratio() >= 0.84
+    # The letters in both, in any order, are the most that can match: SequenceMatcher's quick_ratio, without its index.
+    if 2 * (Counter(p) & Counter(t)).total() / (len(p) + len(t)) < 0.84:
+        return False
+    return SequenceMatcher(None, p, t, autojunk=False).ratio() >= 0.84
 
 
 def is_copy(text: str, prompt: str | None) -> bool:
@@ -155,7 +172,7 @@ def is_copy(text: str, prompt: str | None) -> bool:
     # Whatever its length, a copy has most words of the prompt in its beginning; few other texts do.
     start = _LEAD.match(t).end()
     head = unicodedata.normalize("NFKC", t[start : start + 3 * len(prompt) + 64]).lower()
-    if sum(w in head for w in words) < 0.4 * len(words):
+    if sum(map(head.__contains__, words)) < 0.4 * len(words):
         return False
     t = _plain(_MARKUP.sub("", t))
     if not t:

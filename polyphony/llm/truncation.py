@@ -246,7 +246,7 @@ def _corpus_batches(asked):
         keys, seen, closes = [], [], []
 
         def folded():
-            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            inv, k = pd.factorize(np.concatenate(keys))  # by hash: a context comes many times
             return k, np.bincount(inv, np.concatenate(seen)).astype(np.int64), np.bincount(inv, np.concatenate(closes)).astype(np.int64)
 
         held = 0

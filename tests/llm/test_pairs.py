@@ -108,3 +108,21 @@ def test_empty(spark):
     r = spark.createDataFrame([], "gen_id long, language string, prompt_id string, model string, finish_reason string, response_text string")
     p = spark.createDataFrame([], "prompt_id string, language string, prompt_text string")
     assert P.defects(r, p).count() == 0
+
+
+def test_cheap_looks_come_first(monkeypatch):
+    """No alignment for texts of other letters, no pattern of another script for an ASCII sentence; the same answers as the plain definitions."""
+    import re
+
+    made = []
+    real = P.SequenceMatcher
+    monkeypatch.setattr(P, "SequenceMatcher", lambda *a, **k: (made.append(a), real(*a, **k))[1])
+    assert not P._nearly("abcdefghij" * 5, "klmnopqrst" * 5) and not made
+    for a, b in (("how do i bake bread", "how do i bake breda"), ("how do i bake bread", "who made this old cake")):
+        m = real(None, a, b, autojunk=False)
+        assert P._nearly(a, b) == (m.quick_ratio() >= 0.84 and m.ratio() >= 0.84)
+    assert all(x.isascii() for stems, _ in P._DECLINES_ASCII for x in stems)
+    for s in ("i cannot help you with that", "the weather is fine", "не могу помочь с этим", "no puedo ayudarte", "我无法回答这个问题", "nie mogę w tym pomóc", "kann ich dir nicht helfen"):
+        assert P._declines(s) == any(rx.search(s) for stems, rx in P._DECLINES if any(x in s for x in stems))
+    for line in ("  - **I** can't help.", "12) `x` y. z", "**- a", "> - b", "-c", " \t3. d"):
+        assert "".join(P._sentences(line)) == "".join(re.split(P._SENTENCE, P._MARKUP.sub("", line).lower()))
