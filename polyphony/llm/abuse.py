@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,9 +65,35 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .·_-]{1,3}){3,}\w(?!\w)")
 _RUN = re.compile(r"(\w)\1{2,}")
 _LEET = str.maketrans("0134578@$€", "oieastbase")
-_WORD = r"(?:[^\W぀-ヿ㐀-鿿]|[@$*])+"
-_TOK = re.compile(rf"{_WORD}(?:['’*]{_WORD})*|[぀-ヿ㐀-鿿]|[.!?…]+(?!\w)|[。！？;；]|\n+|[()（）“”«»「」|]")
-_SEP = frozenset(".!?…。！？;；\n()（）“”«»「」|")
+#: What a character may be, as bits: of a word, an apostrophe that may join two words, a CJK character, a stop, a break, \w, a gap in spaced-out words, invisible.
+_LETTER, _JOIN, _CJK, _STOP, _BREAK, _ALNUM, _GAP, _UNSEEN = (1 << i for i in range(8))
+
+
+def _kinds() -> np.ndarray:
+    """The bits of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    every = np.arange(len(out), dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    for pattern, bits in ((re.compile(r"\w"), _ALNUM | _LETTER), (_INVISIBLE, _UNSEEN)):
+        for m in re.finditer(f"{pattern.pattern}+", every):
+            out[m.start() : m.end()] |= np.uint8(bits)
+    for i, j in (("぀", "ヿ"), ("㐀", "鿿")):
+        at = slice(ord(i), ord(j) + 1)
+        out[at] = out[at] & ~np.uint8(_LETTER) | _CJK
+    for bit, chars in ((_LETTER, "@$*"), (_JOIN, "'’"), (_STOP, ".!?…"), (_BREAK, "。！？;；\n()（）“”«»「」|"), (_GAP, " .·_-")):
+        out[list(map(ord, chars))] |= np.uint8(bit)
+    return out
+
+
+_KINDS: list[np.ndarray] = []
+
+
+def _read(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, each with a line end, end to end; code points; bits of each; where each text ends)."""
+    if not _KINDS:
+        _KINDS.append(_kinds())
+    blob = "\n".join([*texts, ""])
+    a, _ = code_points([blob])
+    return blob, a, _KINDS[0].take(a), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
 
 
 def clean(text: str) -> str:
@@ -76,6 +103,26 @@ def clean(text: str) -> str:
     return _RUN.sub(r"\1", t)
 
 
+def _disguised(a: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places in texts that ``clean`` may change: none are missed."""
+    word, gap = (kind & _ALNUM) != 0, (kind & _GAP) != 0
+    at = (kind & _UNSEEN) != 0
+    at[2:] |= (a[2:] == a[1:-1]) & (a[1:-1] == a[:-2]) & word[2:]
+    # Four word characters or more, with one to three gaps between each two.
+    two = gap[:-1] & gap[1:]
+    three = two[:-1] & gap[2:]
+    chain = word
+    for _ in range(3):
+        after = np.zeros(len(a), bool)  # a gap that leads on to the chain starts here
+        after[:-1] = gap[:-1] & chain[1:]
+        after[:-2] |= two[:-1] & chain[2:]
+        after[:-3] |= three[:-1] & chain[3:]
+        chain = word.copy()
+        chain[:-1] &= after[1:]
+        chain[-1] = False
+    return np.flatnonzero(at | chain)
+
+
 _DIGITS = re.compile(r"[0134578@$€]")
 
 
@@ -89,6 +136,11 @@ def _plain(word: str) -> str:
     return "0" if w.isdigit() else w
 
 
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(_plain(word).encode("utf-8", "surrogatepass"))
+
+
 def word_buckets(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, number for each word): its character 3- and 4-grams, ends marked, and the word itself, hashed."""
     plain = [f"<{_plain(w)}>" for w in words]
@@ -110,27 +162,56 @@ def word_buckets(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(feats)[order] % U(n)).astype(np.int64), np.bincount(owners, minlength=len(words))
 
 
+def _tokens(texts: list[str]):
+    """(hash, sentence, text of each word; hash and spelling of each distinct word)."""
+    blob, a, kind, ends = _read(texts)
+    if len(at := _disguised(a, kind) if len(a) > 3 else np.arange(len(a))):
+        texts = list(texts)
+        for i in np.unique(np.searchsorted(ends, at, "right")).tolist():
+            texts[i] = clean(texts[i])
+        blob, a, kind, ends = _read(texts)
+    # Words are runs of letters, which one apostrophe between two letters joins; a CJK character is a word.
+    letter, cjk = (kind & _LETTER) != 0, (kind & _CJK) != 0
+    letter[1:-1] |= ((kind[1:-1] & _JOIN) != 0) & letter[:-2] & letter[2:]
+    begins, stops = letter | cjk, letter | cjk
+    begins[1:] &= cjk[1:] | ~letter[:-1]
+    stops[:-1] &= cjk[:-1] | ~letter[1:]
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    # A stop before a word character, as in a.b, ends no sentence.
+    sep = (kind & _STOP) != 0
+    sep[:-1] &= (kind[1:] & _ALNUM) == 0
+    sep |= (kind & _BREAK) != 0
+    sent = np.cumsum(sep, dtype=np.int32)[begins]
+    text = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, np.searchsorted(begins, ends)]))
+    # Equal words are found by 64-bit sums over their characters and places.
+    sums = np.zeros(len(begins), U)
+    for o in range(0, len(begins), 1 << 14):
+        i, size = begins[o : o + (1 << 14)], (stops - begins)[o : o + (1 << 14)]
+        place = _ranges(np.zeros_like(i), size)
+        sums[o : o + len(i)] = np.add.reduceat(mix(a[np.repeat(i, size) + place] + (place.astype(U) << U(32)) + U(1)), np.cumsum(size) - size)
+    codes, distinct = pd.factorize(sums)
+    one = np.zeros(len(distinct), np.int64)
+    one[codes] = np.arange(len(sums))
+    return sums, sent, text, distinct, [blob[i:j] for i, j in zip(begins[one].tolist(), stops[one].tolist(), strict=True)]
+
+
 class Bags:
     """Sentences of texts as bags of words, word pairs and word triples, with the text of each."""
 
     def __init__(self, texts: list[str], cfg: Abuse):
-        toks: list[str] = []
-        ends = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            toks += _TOK.findall(clean(t))
-            toks.append("\n")
-            ends[i] = len(toks)
-        codes, words = pd.factorize(np.array(toks, dtype=object))
-        sep = np.array([w[0] in _SEP for w in words], bool)[codes]
-        text = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
-        sent = np.cumsum(sep)
-        keep = ~sep
-        self.codes, sent, text = codes[keep], sent[keep], text[keep]
+        # By a thousand texts, so that what is as long as the texts stays small.
+        got = [_tokens(texts[o : o + 1000]) for o in range(0, len(texts) or 1, 1000)]
+        texts_before, sents_before = 1000 * np.arange(len(got)), np.cumsum([0, *(g[1][-1] + 1 if len(g[1]) else 0 for g in got)])
+        text = np.concatenate([g[2] + o for g, o in zip(got, texts_before, strict=True)])
+        sent = np.concatenate([g[1] + o for g, o in zip(got, sents_before[:-1], strict=True)])
+        self.codes, distinct = pd.factorize(np.concatenate([g[0] for g in got]))
+        words = np.empty(len(distinct), dtype=object)
+        words[pd.factorize(np.concatenate([g[3] for g in got]))[0]] = [w for g in got for w in g[4]]
         first = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]]) if len(sent) else np.zeros(0, np.int64)
         self.words, self.first, self.text = words, first, text[first]
         self._cache: dict[int, np.ndarray] = {}
         self.stop = np.r_[first[1:], len(sent)]
-        h = np.array([xxhash.xxh3_64_intdigest(_plain(w).encode("utf-8", "surrogatepass")) for w in words], U)[self.codes]
+        h = np.fromiter(map(_hash, words), U, len(words))[self.codes]
         same2 = np.r_[sent[1:] == sent[:-1], False] if len(sent) else np.zeros(0, bool)
         same3 = np.r_[sent[2:] == sent[:-2], False, False] if len(sent) > 1 else np.zeros(len(sent), bool)
         nxt = np.roll(h, -1)
@@ -167,12 +248,39 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def _sum_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, sums of their rows)."""
-    order = np.argsort(key)
-    k = key[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[first], np.add.reduceat(rows[order], first)
+def _distinct(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, the place of each of x among them, which of x is the last of its value); at: room for a place a possible value."""
+    i = np.arange(len(x))
+    at[x] = i
+    last = at.take(x)
+    lead = last == i
+    return x.compress(lead), (np.cumsum(lead) - 1).take(last), lead
+
+
+def _sum_rows(rows: np.ndarray, pick: np.ndarray, to: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The sums of the picked rows by value, as ``_distinct`` tells the values apart: the last row of each and, where there are, others."""
+    out = rows.take(pick.compress(lead), axis=0)
+    rest = np.flatnonzero(~lead)
+    if len(rest):
+        k = rows.shape[1]
+        np.add.at(out.reshape(-1), (to.take(rest)[:, None] * k + np.arange(k)).ravel(), rows.take(pick.take(rest), axis=0).ravel())
+    return out
+
+
+#: Rows that are added up one by one in ``_pile``.
+_TALL = 64
+
+
+def _pile(rows: np.ndarray, tall: np.ndarray) -> np.ndarray:
+    """Sums of piles: rows has the lowest row of each pile, then the second ones of the first tall[1] piles, which have one, and so on."""
+    out, at = rows[: tall[0]].copy(), int(tall[0])
+    for n in tall[1:_TALL].tolist():
+        out[:n] += rows[at : at + n]
+        at += n
+    if len(tall) > _TALL:
+        rest = tall[_TALL:]
+        np.add.at(out, _ranges(np.zeros_like(rest), rest), rows[at : at + int(rest.sum())])
+    return out
 
 
 class Model:
@@ -182,6 +290,7 @@ class Model:
         self.cfg, self.table, self.bias, self.threshold = cfg, table, bias, cfg.threshold if threshold is None else threshold
         self._seen: dict[str, int] = {}
         self._rows: np.ndarray | None = None
+        self._table: np.ndarray | None = None
 
     def __reduce__(self):
         return Model, (self.cfg, self.table, self.bias, self.threshold)
@@ -193,7 +302,7 @@ class Model:
         new = [w for w in words if w not in self._seen]
         if new:
             f, k = word_buckets(new, self.cfg.buckets)
-            v = np.concatenate([np.add.reduceat(self.table[f], np.cumsum(np.r_[0, k[:-1]])), k[:, None]], 1).astype(np.float32)
+            v = np.concatenate([np.add.reduceat(self.table.take(f, axis=0), np.cumsum(np.r_[0, k[:-1]])), k[:, None]], 1).astype(np.float32)
             base = len(self._seen)
             for i, w in enumerate(new):
                 self._seen[w] = base + i
@@ -204,13 +313,15 @@ class Model:
         """Class probabilities of each sentence; of several models together (see ``together``), those of each side by side."""
         if not len(b.first):
             return np.zeros((0, len(self.bias)))
-        v = self._words(b.words)[b.codes]
+        if self._table is None:
+            self._table = np.concatenate([self.table, np.zeros((1, self.table.shape[1]), self.table.dtype)])  # row -1: no pair, no triple
+        rows = self._words(b.words)
+        v = np.ascontiguousarray(rows[:, :-1]).take(b.codes, axis=0)
+        n = rows[:, -1].take(b.codes)
         for x in (b.pair, b.triple):
-            ok = x >= 0
-            v[ok, :-1] += self.table[x[ok]]
-            v[ok, -1] += 1
-        v = np.add.reduceat(v, b.first)
-        z = v[:, :-1] / np.maximum(v[:, -1:], 1) + self.bias
+            v += self._table.take(x, axis=0)
+            n += x >= 0
+        z = np.add.reduceat(v, b.first) / np.maximum(np.add.reduceat(n, b.first), 1)[:, None] + self.bias
         z = z.reshape(len(z), -1, len(CLASSES))
         z = np.exp(z - z.max(2, keepdims=True))
         return (z / z.sum(2, keepdims=True)).reshape(len(z), -1)
@@ -273,37 +384,67 @@ def _fit_round(parts, y, weight, state: State, epochs: int, rng) -> np.ndarray:
 
     Words are summed up once a batch and their gradients spread over their n-grams once a batch."""
     (word, n_word), (more, n_more), (sub, n_sub) = parts
-    used, ids = np.unique(np.r_[sub, more], return_inverse=True)
-    ids = ids.astype(np.int32)  # half the bytes to sort
-    word = word.astype(np.int32)
-    sub, more = ids[: len(sub)], ids[len(sub) :]
-    at_word, at_more, at_sub = (np.cumsum(np.r_[0, n[:-1]]) for n in (n_word, n_more, n_sub))
-    size = np.add.reduceat(n_sub[word], at_word) + n_more
-    cfg, e, ge = state.cfg, state.e[used], state.ge[used]
+    cfg = state.cfg
+    # Words and buckets are numbered anew, frequent ones first, so that what is often read lies together.
+    often = np.bincount(word, minlength=len(n_sub))
+    count = np.bincount(more, minlength=cfg.buckets) + np.bincount(sub, np.repeat(often, n_sub), cfg.buckets).astype(np.int64)
+    by = np.argsort(-often, kind="stable")
+    sub, n_sub, word = sub.take(_ranges((np.cumsum(n_sub) - n_sub).take(by), n_sub.take(by))), n_sub.take(by), np.argsort(by).take(word)
+    used = np.flatnonzero(count)
+    used = used.take(np.argsort(-count.take(used), kind="stable"))
+    local = np.zeros(cfg.buckets, np.int64)
+    local[used] = np.arange(len(used))
+    sub, more = local.take(sub), local.take(more)
+    at_word, at_more, at_sub = (np.cumsum(n) - n for n in (n_word, n_more, n_sub))
+    size = (np.add.reduceat(n_sub.take(word), at_word) + n_more).astype(np.float32)[:, None]
+    e, ge = state.e[used], state.ge[used]
+    whole = e.view(f"V{e.itemsize * cfg.dim}").ravel()  # embeddings as single values, which are stored faster than rows
     o, b, go, gb = state.heads()
+    where, turn, last = np.zeros(len(n_sub), np.int64), np.zeros(len(n_sub), np.int64), np.zeros(len(used), np.int64)
+    ones = np.full(cfg.dim, 1 / cfg.dim, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(size))
+        n_words, n_mores = n_word.take(order), n_more.take(order)
+        words, mores = word.take(_ranges(at_word.take(order), n_words)), more.take(_ranges(at_more.take(order), n_mores))
+        to_word, to_more = np.r_[0, np.cumsum(n_words)], np.r_[0, np.cumsum(n_mores)]
         for start in range(0, len(order), cfg.batch):
             p = order[start : start + cfg.batch]
-            w, inv = np.unique(word[_ranges(at_word[p], n_word[p])], return_inverse=True)
-            f = sub[_ranges(at_sub[w], n_sub[w])]
-            g = more[_ranges(at_more[p], n_more[p])]
-            x = np.add.reduceat(np.add.reduceat(e[f], np.cumsum(np.r_[0, n_sub[w][:-1]]))[inv], np.cumsum(np.r_[0, n_word[p][:-1]]))
-            some = np.flatnonzero(n_more[p])
+            stop = start + len(p)
+            said, g = words[to_word[start] : to_word[stop]], mores[to_more[start] : to_more[stop]]
+            nw, nm = n_words[start:stop], n_mores[start:stop]
+            w, inv, lead_w = _distinct(said, where)
+            # The first buckets of all words, then their second ones and so on, words with most of them first.
+            nf = n_sub.take(w)
+            down = np.argsort(-nf)
+            deep = nf.take(down)
+            tall = np.searchsorted(-deep, -np.arange(deep[0]), "left")
+            of_word = _ranges(np.zeros_like(tall), tall)
+            f = sub.take(at_sub.take(w.take(down)).take(of_word) + np.repeat(np.arange(len(tall)), tall))
+            ids = np.concatenate([f, g])
+            rows = e.take(ids, axis=0)
+            turn[down] = np.arange(len(w))
+            x = np.add.reduceat(_pile(rows, tall).take(turn.take(inv), axis=0), to_word[start:stop] - to_word[start])
+            some = np.flatnonzero(nm)
             if len(some):
-                x[some] += np.add.reduceat(e[g], np.cumsum(np.r_[0, n_more[p][some][:-1]]))
-            x /= size[p][:, None]
+                x[some] += np.add.reduceat(rows[len(f) :], (to_more[start:stop] - to_more[start])[some])
+            of = size.take(p, axis=0)
+            x /= of
             z = x @ o + b
             q = np.exp(z - z.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(p)), y[p]] -= 1
             q *= weight[p][:, None] / len(p)
             do, db = x.T @ q, q.sum(0)
-            dx = ((q @ o.T) / size[p][:, None]).astype(np.float32)
-            _, dw = _sum_by(inv, np.repeat(dx, n_word[p], axis=0))
-            u, de = _sum_by(np.r_[f, g], np.concatenate([np.repeat(dw, n_sub[w], axis=0), np.repeat(dx, n_more[p], axis=0)]))
-            ge[u] += np.einsum("ij,ij->i", de, de) / np.float32(cfg.dim)
-            e[u] -= cfg.rate * de / np.sqrt(ge[u])[:, None]
+            dx = ((q @ o.T) / of).astype(np.float32)
+            dw = _sum_rows(dx, np.repeat(np.arange(len(p)), nw), inv, lead_w).take(down, axis=0)
+            u, to, lead = _distinct(ids, last)
+            de = _sum_rows(np.concatenate([dw, dx]), np.concatenate([of_word, np.repeat(np.arange(len(w), len(w) + len(p)), nm)]), to, lead)
+            s = ge.take(u) + (de * de) @ ones
+            ge[u] = s
+            de *= (cfg.rate / np.sqrt(s))[:, None]
+            new = rows.compress(lead, axis=0)
+            new -= de
+            np.put(whole, u, new.view(whole.dtype).ravel())
             go += do * do
             gb += db * db
             o -= cfg.rate * 0.3 * do / np.sqrt(go)

@@ -188,3 +188,88 @@ def test_shards_meet_after_each_epoch(spark):
     for shard_chars in (12_000_000, 40_000):
         got = {r.doc_id for r in A.flagged(d, lab, A.Abuse(shard_chars=shard_chars)).collect()}
         assert len(got ^ want) <= 0.05 * len(c)
+
+
+def read_plainly(texts):
+    """(words, sentence of each, text of each): the words of abuse.Bags by regular expressions."""
+    import re
+
+    word = r"(?:[^\W぀-ヿ㐀-鿿]|[@$*])+"
+    token = re.compile(rf"{word}(?:['’*]{word})*|[぀-ヿ㐀-鿿]|[.!?…]+(?!\w)|[。！？;；]|\n+|[()（）“”«»「」|]")
+    words, sent, text, s = [], [], [], 0
+    for i, t in enumerate(texts):
+        s += 1
+        for w in token.findall(A.clean(t)):
+            if w[0] in ".!?…。！？;；\n()（）“”«»「」|":
+                s += 1
+            else:
+                words.append(w), sent.append(s), text.append(i)
+    return words, sent, text
+
+
+def test_reading_equals_regular_expressions():
+    rng = random.Random(12)
+    letters = "aabBcé_0133@$*'’..!?… \n\n··--;；。！？()（）「」|«»“”あいー日本・々­​﻿٣ß²́\ud800😀ſＡ\r\t"
+    for _ in range(3000):
+        texts = ["".join(rng.choices(letters, k=rng.randrange(25))) for _ in range(rng.randrange(6))]
+        words, sent, text = read_plainly(texts)
+        b = A.Bags(texts, A.Abuse())
+        first = [i for i in range(len(sent)) if not i or sent[i] != sent[i - 1]]
+        assert [b.words[c] for c in b.codes] == words and b.first.tolist() == first and b.text.tolist() == [text[i] for i in first]
+
+
+def test_reading_costs_less_than_regular_expressions():
+    from time import process_time
+
+    rng = random.Random(13)
+    texts = [". ".join(" ".join(passage(rng, 10)) for _ in range(10)) for _ in range(1000)]
+
+    def cost(f):
+        f(texts[:10])
+        began = process_time()
+        f(texts)
+        return process_time() - began
+
+    assert min(cost(lambda t: A.Bags(t, A.Abuse())) for _ in range(3)) < 0.7 * min(cost(read_plainly) for _ in range(3))
+
+
+def test_training_equals_plain_sums():
+    import numpy as np
+
+    cfg = A.Abuse(buckets=1 << 10, batch=16)  # many buckets are shared by words
+    c = bad_corpus(40, 14) + [("ab" * 60 + "c and a long word, ab ab ab.", "none")]
+    bags = A.Bags([t for t, _ in c], cfg)
+    y = np.array([A.CLASSES.index(x) for _, x in c])[bags.text]
+    weight = np.where(y > 0, 2, 1).astype(np.float32)
+    pick = np.arange(len(y))
+    parts = bags.parts(pick, cfg.buckets)
+    got = A.State(cfg, 5)
+    A._fit_round(parts, y, weight, got, 2, np.random.default_rng(6))
+
+    (word, n_word), (more, n_more), (sub, n_sub) = parts
+    subs, words, mores = (np.split(x, np.cumsum(n)[:-1]) for x, n in ((sub, n_sub), (word, n_word), (more, n_more)))
+    assert max(n_sub) > A._TALL
+    feats = [np.concatenate([*(subs[w] for w in ws), m]) for ws, m in zip(words, mores, strict=True)]
+    want, rng = A.State(cfg, 5), np.random.default_rng(6)
+    o, b, go, gb = want.heads()
+    for _ in range(2):
+        order = rng.permutation(len(y))
+        for start in range(0, len(order), cfg.batch):
+            p = order[start : start + cfg.batch]
+            x = np.array([want.e[feats[i]].mean(0) for i in p])
+            z = np.exp(x @ o + b)
+            q = z / z.sum(1, keepdims=True)
+            q[np.arange(len(p)), y[p]] -= 1
+            q *= weight[p][:, None] / len(p)
+            de = np.zeros_like(want.e)
+            for i, g in zip(p, q @ o.T, strict=True):
+                np.add.at(de, feats[i], g / len(feats[i]))
+            want.ge += (de * de).mean(1)
+            want.e -= cfg.rate * de / np.sqrt(want.ge)[:, None]
+            do, db = x.T @ q, q.sum(0)
+            go += do * do
+            gb += db * db
+            o -= cfg.rate * 0.3 * do / np.sqrt(go)
+            b -= cfg.rate * 0.3 * db / np.sqrt(gb)
+    assert np.allclose(got.e, want.e, atol=1e-4) and np.allclose(got.top, want.top, atol=1e-4)
+    assert np.array_equal(np.flatnonzero(got.seen), np.unique(np.concatenate(feats)))
