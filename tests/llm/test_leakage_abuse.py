@@ -70,6 +70,97 @@ def test_cjk_and_empty(spark):
     assert K.leaked(d.limit(0), e).count() == 0 and K.leaked(d, e.limit(0)).count() == 0
 
 
+def test_reading_documents_equals_tokens():
+    rng = random.Random(12)
+    parts = [*"abAB zZ*`~ΣσςİßÉ漢かカ1２٩<>&;\n.,'’\u200b\u00ad𝔸_-", "e\u0301", "<b>", "</b>", "&amp;", "__", "**"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    h, off, size = K._read(texts)
+    want = [K.tokens(t) for t in texts]
+    flat = [w for ws in want for w in ws]
+    assert [b - a for a, b in zip(off, off[1:], strict=False)] == [len(ws) for ws in want]
+    assert size.tolist() == [len(w) for w in flat]
+    assert len(set(h.tolist())) == len(set(flat)) == len(set(zip(h.tolist(), flat, strict=True)))
+    assert (K._token_hashes(want)[0] == h).all()
+
+
+def test_alignments_made_together_equal_single_ones():
+    import numpy as np
+
+    def plain(x, y):
+        """(score in tenths, end in x, end in y)"""
+        best, row = (0, 0, 0), [0] * (len(y) + 1)
+        for i, a in enumerate(x, 1):
+            new = [0]
+            for j, b in enumerate(y, 1):
+                new.append(max(0, row[j - 1] + (10 if a == b else -12), row[j] - 15, new[-1] - 15))
+                if new[j] > best[0]:
+                    best = (new[j], i, j)
+            row = new
+        return best
+
+    rng = random.Random(8)
+    asks = []
+    for _ in range(300):
+        x, y = ([rng.randrange(2, 32) for _ in range(rng.randrange(a, b))] for a, b in ((1, 50), (0, 70)))
+        a = rng.randrange(len(x))
+        y[len(y) // 2 : len(y) // 2] = [v if rng.random() < 0.85 else 40 for v in x[a : a + 20]]
+        asks.append((np.array(x, K.U), np.array(y, K.U), rng.choice([0.0, 0.17 * len(x)])))
+    got = K.passages(asks)
+    for (x, y, least), r in zip(asks, got, strict=True):
+        score, i, j = plain(x.tolist(), y.tolist())
+        want = (i - plain(x[:i][::-1].tolist(), y[:j][::-1].tolist())[1], i) if i and score >= 10 * least - 1e-9 else (0, 0)
+        assert r == want
+
+
+def test_common_phrases_cost_little():
+    """Documents that share phrases with many items: the search must not cost many times what cutting them into words does."""
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    phrases = [" ".join(passage(rng, 9)) for _ in range(150)]
+    text = lambda n: ". ".join(rng.choice(phrases) + " " + " ".join(passage(rng, 6)) for _ in range(n))
+    items = [text(4) for _ in range(150)]
+    docs = [text(14) for _ in range(2000)]
+    docs[7] += items[3]
+
+    class Shared:
+        value = K.Items(list(range(150)), items, K.Leakage())
+
+    def cost(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(docs)], ["doc_id", "text"])
+    got = []
+    search = min(cost(lambda: got.append([tuple(r.values())[:2] for b in K._search(Shared)(iter([batch])) for r in b.to_pylist()])) for _ in range(2))
+    read = min(cost(lambda: [K.tokens(t) for t in docs]) for _ in range(2))
+    assert (7, 3) in got[0] and search < 11 * read
+
+
+def test_pieces_give_equal_results(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    phrases = [passage(rng, 9) for _ in range(25)]
+    words = lambda n: [w for _ in range(n) for w in (*rng.choice(phrases), *passage(rng, 4))]
+    items = [words(3) for _ in range(40)]
+    docs = [" ".join(words(6) + rng.choice(items)[: rng.randrange(40)] + words(5)) for _ in range(80)] + ["", "!!"]
+
+    class Shared:
+        value = K.Items(list(range(40)), [" ".join(x) for x in items], K.Leakage())
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], ["doc_id", "text"])
+    search = lambda: sorted(tuple(r.values()) for b in K._search(Shared)(iter([batch])) for r in b.to_pylist())
+    want = search()
+    for name, value in (("CHARS", 3000), ("WAITING", 3), ("READINGS", 2), ("CELLS", 300)):
+        monkeypatch.setattr(K, name, value)
+        assert search() == want
+    assert len(want) >= 20
+
+
 def bad_corpus(n, seed):
     rng = random.Random(seed)
     fine = ["the garden needs regular care", "a short walk takes time", "the library opens early", "we met near the old station", "the teacher explains the rule", "reports must list every insult", "calling someone a blorf is against the rules"]
